@@ -115,13 +115,30 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def references(feats: DataFrame) -> DataFrame:
-    """One row for each language, and one with null for all: summed histograms as ``ref_chars``, ``ref_words``."""
-    n_chars, n_words = len(CLASSES) + 2, OTHER_WORD + 1
-    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(n_chars)] + [F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(n_words)]
-    by_lang = feats.groupBy("lang").agg(*sums)
-    every = by_lang.agg(*[F.sum(c).alias(c) for c in by_lang.columns if c != "lang"]).select(F.lit(None).cast("string").alias("lang"), *[c for c in by_lang.columns if c != "lang"])
-    both = by_lang.filter(F.col("lang").isNotNull()).unionByName(every)
-    return both.select(F.col("lang").alias("ref_lang"), F.array(*[f"c{i}" for i in range(n_chars)]).alias("ref_chars"), F.array(*[f"w{i}" for i in range(n_words)]).alias("ref_words"))
+    """One row for each language, and one with null for all: summed histograms as ``ref_chars``, ``ref_words``.
+
+    Each batch is summed by language before anything is shuffled.
+    """
+
+    def make() -> Callable:
+        def one(batch: pa.RecordBatch):
+            langs = batch.column("lang").to_pylist()
+            sums = {g: [matrix(batch, c)[[x == g for x in langs]].sum(0).astype(int).tolist() for c in ("chars", "words")] for g in set(langs)}
+            yield {"lang": list(sums), "chars": [v[0] for v in sums.values()], "words": [v[1] for v in sums.values()]}
+
+        return one
+
+    partial = map_batches(feats.select("lang", "chars", "words"), make, "lang string, chars array<bigint>, words array<bigint>")
+    cells = partial.select("lang", F.posexplode(F.concat("chars", "words")).alias("bin", "n")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    every = cells.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bin", "n")
+    both = cells.filter(F.col("lang").isNotNull()).unionByName(every)
+    whole = both.groupBy(F.col("lang").alias("ref_lang")).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"]).alias("bins"))
+    return whole.select("ref_lang", F.slice("bins", 1, len(CLASSES) + 2).alias("ref_chars"), F.slice("bins", len(CLASSES) + 3, OTHER_WORD + 1).alias("ref_words"))
+
+
+def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    return np.asarray(batch.column(name).flatten(), dtype=float).reshape(batch.num_rows, -1)
 
 
 def judge(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -135,9 +152,6 @@ def judge(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float
     kept = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def make() -> Callable:
-        def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
-            return np.asarray(batch.column(name).flatten(), dtype=float).reshape(batch.num_rows, -1)
-
         def one(batch: pa.RecordBatch):
             if not batch.num_rows:
                 return
