@@ -25,7 +25,7 @@ from quillon.llm.common import cut
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Words in a block, and the blocks that a source has at least (if it has that many words).
-BLOCK_WORDS, MIN_BLOCKS = 256, 64
+BLOCK_WORDS, MIN_BLOCKS = 256, 256
 #: The circle of the schedule's points and the golden step on it.
 CIRCLE, GOLDEN = 1 << 31, 1327217885
 SLOTS_PER_CHUNK, CELLS = 1024, 4096
