@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, mixing, quality, secrets
+from quillon.llm import chat, decontam, mixing, quality, secrets
 from quillon.llm.common import documents, table
 
 
@@ -31,6 +31,17 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copy")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: whether it leaks, the items it leaks and the fewest edits."""
+    found = decontam.find_leaks(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x["item_id"]))).alias("item_ids"),
+        F.array_min(F.transform("leaks", lambda x: x["edits"])).alias("least_edits"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
