@@ -6,8 +6,9 @@ share a band form a group; no group's pairs are written out.  Instead every memb
 the group's hub, its smallest set h, which is exact by this lemma: if w and a have similarity t or
 more and h is no larger than both, then either both are similar to h (and so connected), or w and a
 share a shingle outside h.  A group in which some member is not similar to the hub is therefore
-divided by the shingles outside the hub, rarest first and only as many as the overlap bound asks for,
-and each part is treated in the same way.  Parts never hold the hubs above them, so this ends.
+settled by an inverted index of the shingles outside the hub: in one task if these are few, else by
+dividing it by those shingles, rarest first and only as many as the overlap bound asks for, and
+treating each part in the same way.  Parts never hold the hubs above them, so this ends.
 
 Defined cases: null text, or text without words, has an empty set, links with nothing and is its own
 component; with fewer than five words the whole sequence is one shingle; repeated rows are copies of
@@ -33,6 +34,8 @@ SHINGLE = 5
 PERCENT = 85
 #: Each band takes both values of ROWS / 2 permutations; a pair at 0.85 shares no band with probability 4e-7.
 BANDS, ROWS = 20, 4
+#: Parts whose members differ from their hub in at most so many shingles in all are settled in one task.
+TASK_ELEMENTS = 400_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -142,8 +145,9 @@ def needed(own: int, other: int) -> int:
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (part, hub, node) tested on full sets.
 
-    Adds n, linked, extra (the node's shingles outside the hub) and need (how many of them, in any
-    fixed order, must hold one that a linked partner in the part shares).
+    Adds n and hub_n (sizes), linked, extra (the node's shingles outside the hub), missing (the hub's
+    outside the node) and need: how many of the extra shingles, in any fixed order, must hold one that
+    a linked partner in the part shares.
     """
     hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles"))
     both = pairs.join(sets, "node").join(hubs, "hub")
@@ -153,23 +157,108 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             own, hub = batch.column("shingles"), batch.column("hub_shingles")
             a_off, b_off = own.offsets.to_numpy(), hub.offsets.to_numpy()
             a_all, b_all = own.values.to_numpy(), hub.values.to_numpy()
-            linked, extra, need, size = [], [], [], []
+            out = {c: [] for c in ("n", "hub_n", "linked", "extra", "missing", "need")}
             for i in range(batch.num_rows):
                 w, h = a_all[a_off[i] : a_off[i + 1]], b_all[b_off[i] : b_off[i + 1]]
                 at = np.searchsorted(h, w)
                 at[at == len(h)] = 0
-                outside = w[h[at] != w]
-                shared = len(w) - len(outside)
-                linked.append(100 * shared >= PERCENT * (len(w) + len(h) - shared))
+                same = h[at] == w
+                shared = int(same.sum())
+                absent = np.ones(len(h), bool)
+                absent[at[same]] = False
                 least = max(1, needed(len(w), max(len(h), -(-PERCENT * len(w) // 100))) - shared)
-                size.append(len(w))
-                extra.append(outside.tolist())
-                need.append(len(outside) - least + 1)
-            yield {c: batch.column(c) for c in ("part", "hub", "node")} | {"n": size, "linked": linked, "extra": extra, "need": need}
+                for name, value in zip(out, (len(w), len(h), 100 * shared >= PERCENT * (len(w) + len(h) - shared), w[~same].tolist(), h[absent].tolist(), len(w) - shared - least + 1), strict=True):
+                    out[name].append(value)
+            yield {c: batch.column(c) for c in ("part", "hub", "node")} | out
 
         return one
 
-    return map_batches(both.select("part", "hub", "node", "shingles", "hub_shingles"), make, "part bigint, hub binary, node binary, n bigint, linked boolean, extra array<bigint>, need int")
+    ddl = "part bigint, hub binary, node binary, n bigint, hub_n bigint, linked boolean, extra array<bigint>, missing array<bigint>, need int"
+    return map_batches(both.select("part", "hub", "node", "shingles", "hub_shingles"), make, ddl)
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """Links (a, b) inside whole parts of bounded size: enough of them to connect all that are linked.
+
+    The rows of a part are streamed to one task, which holds one part at a time and needs only what
+    each member has outside the hub and lacks of it.
+    """
+    ordered = rows.repartition("part").sortWithinPartitions("part", "node")
+    columns = ("part", "node", "n", "hub_n", "linked", "extra", "missing")
+    want = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def task(batches):
+        held, now = [], None
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if row[0] != now:
+                    if held:
+                        yield pa.RecordBatch.from_pylist(_links_of(held), schema=want)
+                    held, now = [], row[0]
+                held.append(row[1:])
+        if held:
+            yield pa.RecordBatch.from_pylist(_links_of(held), schema=want)
+
+    return ordered.select(*columns).mapInArrow(task, "a binary, b binary")
+
+
+def _links_of(members: list[tuple]) -> list[dict]:
+    """Spanning links among members (node, n, hub_n, linked, extra, missing) of one part.
+
+    Only pairs with an unlinked member that share a shingle outside the hub can be new links.
+    """
+    node, n, hub_n, linked, extra, missing = zip(*members, strict=True)
+    size, hub = np.array(n), hub_n[0]
+    lacks = np.array([len(x) for x in missing])
+    outside, lacking = _Postings(extra), _Postings(missing)
+    root = list(range(len(node)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    first = next((i for i, x in enumerate(linked) if x), None)
+    for i, x in enumerate(linked):
+        if x:
+            root[i] = first
+    out = []
+    for i in (i for i, x in enumerate(linked) if not x):
+        count = outside.shared(i, len(node))
+        if count is None:
+            continue
+        count[i] = 0
+        others = np.flatnonzero(count)
+        both = lacking.shared(i, len(node))
+        inter = hub - lacks[i] - lacks[others] + count[others] + (0 if both is None else both[others])
+        for j in others[100 * inter >= PERCENT * (size[i] + size[others] - inter)].tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                root[a] = b
+                out.append({"a": node[i], "b": node[j]})
+    return out
+
+
+class _Postings:
+    """Which of several sets hold each element that at least two of them hold."""
+
+    def __init__(self, sets: tuple[list[int], ...]) -> None:
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        values = np.fromiter((v for x in sets for v in x), np.int64, len(owner))
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        starts = np.flatnonzero(np.diff(values, prepend=values[:1] - 1)) if len(values) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(values))
+        self.holders = [owner[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a > 1]
+        self.of: dict[int, list[int]] = {}
+        for k, who in enumerate(self.holders):
+            for i in who.tolist():
+                self.of.setdefault(i, []).append(k)
+
+    def shared(self, i: int, n: int) -> np.ndarray | None:
+        """How many elements each set shares with set ``i``; None if no other set shares any."""
+        mine = self.of.get(i)
+        return np.bincount(np.concatenate([self.holders[k] for k in mine]), minlength=n) if mine else None
 
 
 def with_hubs(rows: DataFrame, key: str) -> DataFrame:
@@ -179,9 +268,8 @@ def with_hubs(rows: DataFrame, key: str) -> DataFrame:
 
 
 def divide(tested: DataFrame) -> DataFrame:
-    """The parts that groups with an unlinked member fall into: (part, hub, node) pairs to test next."""
-    open_parts = tested.filter(~F.col("linked")).select("part").distinct()
-    rows = tested.filter("need > 0").join(open_parts, "part", "left_semi").select("part", "node", "n", "linked", "need", F.explode("extra").alias("shingle"))
+    """The parts that too large groups fall into: (part, hub, node) pairs to test next."""
+    rows = tested.filter("need > 0").select("part", "node", "n", "linked", "need", F.explode("extra").alias("shingle"))
     often = rows.groupBy("part", "shingle").agg(F.count("*").alias("often"))
     order = W.partitionBy("part", "node").orderBy("often", "shingle")
     prefix = rows.join(often, ["part", "shingle"]).withColumn("nth", F.row_number().over(order)).filter("nth <= need and often > 1")
@@ -190,7 +278,7 @@ def divide(tested: DataFrame) -> DataFrame:
     return with_hubs(prefix.join(live, "group", "left_semi").select("part", "group", "node", "n"), "group")
 
 
-def links(docs: DataFrame, sketches: DataFrame) -> DataFrame | None:
+def links(docs: DataFrame, sketches: DataFrame, task_elements: int = TASK_ELEMENTS) -> DataFrame | None:
     """Pairs (a, b) of nodes that are linked on full sets; enough of them to connect every linked pair."""
     nodes = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = nodes.select(F.lit(0).cast("bigint").alias("part"), F.explode("bands").alias("band"), "node", "n")
@@ -203,8 +291,15 @@ def links(docs: DataFrame, sketches: DataFrame) -> DataFrame | None:
     while True:
         tested = cut(compare(pairs, sets))
         linked = tested.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        found = linked if found is None else found.union(linked)
-        pairs = cut(divide(tested))
+        cost = F.sum(F.size("extra") + F.size("missing") + 8)
+        parts = tested.groupBy("part").agg(F.count("*").alias("members"), F.min("linked").alias("all_linked"), cost.alias("cost"))
+        parts = cut(parts.filter("members > 1 and not all_linked").select("part", (F.col("cost") <= task_elements).alias("small")))
+        inside = cut(settle(tested.join(parts.filter("small"), "part", "left_semi")))
+        found = linked.union(inside) if found is None else found.union(linked).union(inside)
+        large = parts.filter("not small")
+        if large.isEmpty():
+            return found.distinct()
+        pairs = cut(divide(tested.join(large, "part", "left_semi")))
         if pairs.isEmpty():
             return found.distinct()
 
@@ -232,10 +327,10 @@ def components(edges: DataFrame) -> DataFrame:
         last = this
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, task_elements: int = TASK_ELEMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     sketches = cut(sketch(docs))
-    found = links(docs, sketches)
+    found = links(docs, sketches, task_elements)
     least = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     if found is not None:
         rooted = cut(components(found))
