@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontam, htmlmain, mixing, neardup, quality, secrets
+from quillon.llm import chat, decontam, htmlmain, langid, licenses, mixing, neardup, quality, secrets
 from quillon.llm.common import documents, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.detect(documents(spark, sf_dir))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -55,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licenses.sql()}
