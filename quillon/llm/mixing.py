@@ -119,6 +119,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     return joined.groupBy("sid", "bucket", "n", *keys).agg(F.coalesce(F.sum(F.col("part") * F.col("times")), F.lit(0)).cast("bigint").alias("taken")).select(*keys, "taken")
 
 
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, with size, source_size, target and taken."""
+    plan = mix(docs, weights, max_repeats).filter("taken > 0").withColumnsRenamed({c: f"__{c}" for c in ("doc_id", "source", "copy")})
+    added = ("size", "source_size", "target", "taken")
+    kept = [c for c in docs.columns if c not in added]
+    rows = docs.select(*kept, word_count(F.col("text")).alias("__size"))
+    same = ("doc_id", "source", "__size")
+    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy(*same).orderBy(*same)) - 1)
+    on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("size")) & (F.col("__n") == F.col("__copy"))
+    return rows.join(plan, on).select(*kept, *added)
+
+
 def _with_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
     plan = plan.select(F.col("source").alias("plan_source"), "sid", "source_size", "target", "blocks", "per", "longer")
     return sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")

@@ -100,7 +100,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """For each row: doc_id, n_shingles, node (digest of the set; null if empty) and its band keys."""
+    """For each row: doc_id, digest (of the text), n_shingles, node (digest of the set; null if empty) and its band keys."""
 
     def make() -> Callable:
         def one(batch: pa.RecordBatch):
@@ -108,6 +108,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()])
                 yield {
                     "doc_id": part.column("doc_id"),
+                    "digest": part.column("digest"),
                     "n_shingles": [len(s) for s in sets],
                     "node": [_digest(s) if len(s) else None for s in sets],
                     "bands": [band_keys(s).tolist() if len(s) else None for s in sets],
@@ -115,7 +116,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
         return one
 
-    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, node binary, bands array<bigint>")
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, digest bigint, n_shingles bigint, node binary, bands array<bigint>")
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -328,14 +329,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, task_elements: int = TASK_ELEMENTS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
+    """doc_id, n_shingles, component_id, kept for each row, and component (a node that stands for it; null if empty)."""
     sketches = cut(sketch(docs))
     found = links(docs, sketches, task_elements)
-    least = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).withColumn("component", F.col("node"))
     if found is not None:
         rooted = cut(components(found))
-        by_root = rooted.join(least, "node").groupBy("root").agg(F.min("least").alias("low"))
-        least = least.join(rooted.join(by_root, "root").select("node", "low"), "node", "left").select("node", F.coalesce("low", "least").alias("least"))
-    out = sketches.select("doc_id", "n_shingles", "node").join(least, "node", "left")
+        by_root = rooted.join(nodes, "node").groupBy("root").agg(F.min("least").alias("low"))
+        nodes = nodes.join(rooted.join(by_root, "root").select("node", "root", "low"), "node", "left")
+        nodes = nodes.select("node", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("low")).alias("least"), F.coalesce("root", "node").alias("component"))
+    out = sketches.select("doc_id", "n_shingles", "digest", "node").join(nodes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "component", "digest")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id.
+
+    Rows without words stay.  Of rows that repeat an id and a text one stays.
+    """
+    wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    found = near_duplicates(docs).filter("component is not null and kept")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(F.col("first.doc_id").alias("of_doc"), F.col("first.digest").alias("of_digest"))
+    rows = docs.filter(~wordless).withColumn("__digest", F.xxhash64("text"))
+    rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("__digest") == F.col("of_digest")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__digest"]).select(*docs.columns).unionByName(docs.filter(wordless))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, map_batches
+from quillon.llm.common import cut, map_batches, slices
 
 #: Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -141,6 +141,42 @@ def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return np.asarray(batch.column(name).flatten(), dtype=float).reshape(batch.num_rows, -1)
 
 
+#: References of so many languages are held by every task; more are joined by language.
+MAX_BROADCAST_LANGUAGES = 10_000
+
+
+def good_documents(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """The rows that :func:`judge` keeps, with all their columns.
+
+    The references are summed in a first pass over the texts and the rows judged in a second one, so
+    no text is shuffled.
+    """
+    refs = cut(references(features(docs)))
+    held = F.broadcast(refs) if refs.count() <= MAX_BROADCAST_LANGUAGES else refs
+    joined = docs.select(*docs.columns).join(held, F.col("lang").eqNullSafe(F.col("ref_lang"))).drop("ref_lang")
+
+    def make() -> Callable:
+        def one(batch: pa.RecordBatch):
+            for part in slices(batch):
+                data = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
+                base = np.array([base_counts(x) for x in data])
+                by = [np.array([f(x) for x in data], float) for f in (char_histogram, word_histogram)]
+                kept = _verdict(base[:, 0], base[:, 4], by[0].sum(1), distance(by[0], matrix(part, "ref_chars")), distance(by[1], matrix(part, "ref_words")), max_char, max_word)[1]
+                rows = part.filter(pa.array(kept))
+                yield {c: rows.column(c) for c in docs.columns}
+
+        return one
+
+    return map_batches(joined, make, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
+
+
+def _verdict(n, repeated, chars, by_char, by_word, max_char, max_word, min_chars=MIN_CHARS, min_words=MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """base_failed and kept."""
+    failed = (n < 50) | (100 * repeated > 50 * n)
+    judged = (n >= min_words) & (chars >= min_chars)
+    return failed, ~failed & ~(judged & ((by_char > max_char) | (by_word > max_word)))
+
+
 def judge(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """Base counts, both distances and the verdict for each document.
 
@@ -158,13 +194,12 @@ def judge(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float
             by_char = distance(c := matrix(batch, "chars"), matrix(batch, "ref_chars"))
             by_word = distance(matrix(batch, "words"), matrix(batch, "ref_words"))
             n, repeated = (np.asarray(batch.column(x)) for x in ("n_words", "n_repeat_words"))
-            failed = (n < 50) | (100 * repeated > 50 * n)
-            judged = (n >= min_words) & (c.sum(1) >= min_chars)
+            failed, kept_rows = _verdict(n, repeated, c.sum(1), by_char, by_word, max_char, max_word, min_chars, min_words)
             yield {x: batch.column(x) for x in kept} | {
                 "base_failed": pa.array(failed),
                 "char_distance": pa.array(by_char),
                 "word_distance": pa.array(by_word),
-                "kept": pa.array(~failed & ~(judged & ((by_char > max_char) | (by_word > max_word)))),
+                "kept": pa.array(kept_rows),
             }
 
         return one

@@ -4,7 +4,7 @@ The chain predicts insult, then contempt, then toxic.  Each link is a logistic m
 of words, and the later ones also see the probabilities of the categories before them; in training
 these are out-of-fold predictions, so that no model sees an answer it was fitted on.  ``toxic`` is the
 tables' label; a labelled toxic text belongs to insult or contempt if it holds a term of that kind.
-The decision threshold is the one with the best F0.5, which leans to precision, on out-of-fold probabilities.
+The decision threshold is the one with the best F1 on out-of-fold probabilities.
 
 The models are fitted on a bounded sample of labelled rows (``TRAIN_ROWS``) and a vocabulary of at
 most ``VOCABULARY`` words that tell toxic from clean beyond chance.  Copies would make any word of
@@ -76,7 +76,7 @@ class Chain:
     threshold: float
 
 
-def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 250, rate: float = 0.3, decay: float = 2e-4) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 2e-4) -> np.ndarray:
     """Logistic regression by Adam on all rows, the two classes weighing the same."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
     w = np.zeros(x.shape[1], np.float32)
@@ -124,7 +124,7 @@ def fit_chain(rows: list[tuple[object, bool, list[str], list[str]]], vocabulary:
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
-    f = 1.25 * hit / (np.arange(1, len(p) + 1) + 0.25 * y.sum())
+    f = 2 * hit / (np.arange(1, len(p) + 1) + y.sum())
     last = np.append(p[order][1:] != p[order][:-1], True)  # cut only between different scores
     k = int(np.argmax(np.where(last, f, -1)))
     return float((p[order][k] + (p[order][k + 1] if k + 1 < len(p) else 0)) / 2)
