@@ -153,7 +153,8 @@ def good_documents(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_wor
     """
     refs = cut(references(features(docs)))
     held = F.broadcast(refs) if refs.count() <= MAX_BROADCAST_LANGUAGES else refs
-    joined = docs.select(*docs.columns).join(held, F.col("lang").eqNullSafe(F.col("ref_lang"))).drop("ref_lang")
+    columns = docs.columns
+    joined = docs.join(held, F.col("lang").eqNullSafe(F.col("ref_lang"))).drop("ref_lang")
 
     def make() -> Callable:
         def one(batch: pa.RecordBatch):
@@ -163,7 +164,7 @@ def good_documents(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_wor
                 by = [np.array([f(x) for x in data], float) for f in (char_histogram, word_histogram)]
                 kept = _verdict(base[:, 0], base[:, 4], by[0].sum(1), distance(by[0], matrix(part, "ref_chars")), distance(by[1], matrix(part, "ref_words")), max_char, max_word)[1]
                 rows = part.filter(pa.array(kept))
-                yield {c: rows.column(c) for c in docs.columns}
+                yield {c: rows.column(c) for c in columns}
 
         return one
 
