@@ -6,7 +6,7 @@ the template.  Votes are counted by diagonal, neighbouring diagonals are merged,
 verified: the share of the template's windows it holds, and its length against the template's.
 
 The base phrases are templates as well; one stands at a place if all of its windows vote for one
-diagonal.  Only hits are shuffled, never texts.
+diagonal.  Only hits are shuffled, never texts; they are materialised once, for the texts are long to search.
 
 Defined cases: null text counts as empty; a text's row is known by doc_id and a hash of the text, both
 null-safe, so repeated rows each get the same result; texts shorter than a window have no hits; other
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillon.llm.common import cut
+
 WINDOW = 3
 #: Neighbouring diagonals at most so far apart are merged; share of windows and length ratios that verify a span.
 DIAGONAL_GAP, MIN_SHARE, LENGTH_RATIOS = 4, 0.8, (0.8, 1.25)
@@ -99,7 +101,7 @@ def spans(found: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """The contract's columns for each row."""
-    by_text = spans(hits(docs)).groupBy("doc_id", "digest").agg(
+    by_text = spans(cut(hits(docs))).groupBy("doc_id", "digest").agg(
         F.count(F.when(F.col("base"), 1)).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
         F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
