@@ -1,15 +1,443 @@
-"""Named queries of the tokenization engine and their SQL twins."""
+"""Named queries, one for each operator, with DuckDB twins.
+
+Most apply an operator to every whole text of ``documents`` and return one row for each text: its id,
+how many pieces or characters came out, and the md5 of all of them, so that nothing is left
+unchecked and nothing large is returned.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.functions.regex import BPE_MODES, BYTE_LEVEL, CJK, CONTROL, PUNCT, WORD, WS4, WS_RE2, WS_UNICODE, alternation
+from quillon.operators import added, decode, encode, encoding, normalize, postprocess, pretokenize, vocabulary
+from quillon.plans import vocabularies as V
+from quillon.schema import Vocab
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+#: Text with white space around it, so that the strippers have something to do.
+SPACED = "chr(9) || ' ' || text || chr(160) || chr(10)"
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def re2(pattern: str) -> str:
+    return quoted(pattern)
+
+
+def _digest_text(df: DataFrame, c: Column) -> DataFrame:
+    return df.select("doc_id", F.length(c).cast("bigint").alias("n"), F.md5(c.cast("binary")).alias("digest"))
+
+
+def _digest_pieces(df: DataFrame, c: Column) -> DataFrame:
+    once = df.select("doc_id", c.alias("p"))
+    return once.select("doc_id", F.size("p").cast("bigint").alias("n"), F.md5(F.array_join("p", "\x1f").cast("binary")).alias("digest"))
+
+
+def _spaced(c: Column) -> Column:
+    return F.concat(F.lit("\t "), c, F.lit(" \n"))
+
+
+def text_query(name: str, f: Callable[[Column], Column], sql: str | None, spaced: bool = False) -> None:
+    """``sql``: DuckDB expression over ``t``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = F.col("text")
+        return _digest_text(read(spark, sf_dir, "documents"), f(_spaced(c) if spaced else c))
+
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = f"select doc_id, length(r)::bigint as n, md5(r) as digest from (select doc_id, {sql} as r from (select doc_id, {SPACED if spaced else 'text'} as t from documents))"
+
+
+def piece_query(name: str, f: Callable[[Column], Column], sql: str | None, before: Callable[[Column], Column] = lambda c: c, sql_before: str = "text") -> None:
+    """``sql``: DuckDB expression over ``t`` that gives a list of strings."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _digest_pieces(read(spark, sf_dir, "documents"), f(before(F.col("text"))))
+
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = f"select doc_id, len(p)::bigint as n, md5(array_to_string(p, chr(31))) as digest from (select doc_id, {sql} as p from (select doc_id, {sql_before} as t from documents))"
+
+
+def id_query(name: str, f: Callable[[Column], Column], sql: str | None) -> None:
+    piece_query(name, lambda c: F.transform(f(c), lambda i: i.cast("string")), sql)
+
+
+def all_of(pattern: str, c: str = "t") -> str:
+    return f"regexp_extract_all({c}, {re2('(?s)' + pattern)})"
+
+
+# --- normalizers
+LOWER = "lower(translate(t, 'İΣ', 'iσ'))"
+text_query("norm_lowercase", normalize.lowercase(), LOWER)
+text_query("norm_uppercase", normalize.uppercase(), "replace(upper(replace(t, 'ß', chr(64976))), chr(64976), 'ß')")
+text_query("norm_strip", normalize.strip(), f"regexp_replace(regexp_replace(t, {re2(f'^[{WS_UNICODE}]+')}, ''), {re2(f'[{WS_UNICODE}]+$')}, '')", True)
+text_query("norm_lstrip", normalize.strip(right=False), f"regexp_replace(t, {re2(f'^[{WS_UNICODE}]+')}, '')", True)
+text_query("norm_rstrip", normalize.strip(left=False), f"regexp_replace(t, {re2(f'[{WS_UNICODE}]+$')}, '')", True)
+text_query("norm_strip_accents", normalize.strip_accents(), r"regexp_replace(t, '\p{Mn}+', '', 'g')")
+text_query("norm_replace_string", normalize.replace("the", "<$1>"), "replace(t, 'the', '<$1>')")
+text_query("norm_replace_regex", normalize.replace_pattern("[ae]+n", "_"), "regexp_replace(t, '[ae]+n', '_', 'g')")
+text_query("norm_prepend", normalize.prepend("▁"), "case when t = '' then t else '▁' || t end")
+text_query("norm_append", normalize.append("</s>"), "case when t = '' then t else t || '</s>' end")
+text_query("norm_filter", normalize.keep("a-zé"), "regexp_replace(t, '[^a-zé]+', '', 'g')")
+text_query("norm_map", normalize.map_chars("aeo", "430"), "translate(t, 'aeo', '430')")
+CLEAN = f"regexp_replace(regexp_replace(t, {re2(f'[ \\t\\n\\r][{CONTROL}]+')}, ' ', 'g'), {re2(f'[{CONTROL}]+')}, '', 'g')"
+text_query("norm_bert_clean", normalize.bert_clean(), CLEAN)
+text_query("norm_bert_chinese", normalize.pad_ideographs(), f"regexp_replace(t, {re2(f'([{CJK}])')}, ' \\1 ', 'g')")
+text_query("norm_bert_full", normalize.bert(), f"regexp_replace(lower(translate(regexp_replace({CLEAN}, {re2(f'([{CJK}])')}, ' \\1 ', 'g'), 'İΣ', 'iσ')), '\\p{{Mn}}+', '', 'g')")
+text_query("norm_default", normalize.default(), f"regexp_replace(regexp_replace({LOWER}, {re2(f'^[{WS_UNICODE}]+')}, ''), {re2(f'[{WS_UNICODE}]+$')}, '')", True)
+text_query("norm_sequence", normalize.sequence(normalize.lowercase(), normalize.replace("th", "z"), normalize.prepend("^")), f"case when t = '' then t else '^' || replace({LOWER}, 'th', 'z') end")
+text_query("norm_nfc", normalize.unicode_form("NFC"), "nfc_normalize(t)")
+for _form in ("NFD", "NFKC", "NFKD"):
+    text_query(f"norm_{_form.lower()}", normalize.unicode_form(_form), None)
+
+# --- pre-tokenizers
+piece_query("pretok_whitespace", pretokenize.whitespace(), all_of(f"[{WORD}]+|[^{WORD}{WS_RE2}]+"))
+piece_query("pretok_whitespace_split", pretokenize.whitespace_split(), all_of(f"[^{WS4}]+"))
+piece_query("pretok_delimiter", pretokenize.delimiter("."), "list_filter(string_split(t, '.'), lambda x: x <> '')")
+piece_query("pretok_punctuation", pretokenize.punctuation(), all_of(f"[{PUNCT}]|[^{PUNCT}]+"))
+piece_query("pretok_digits", pretokenize.digits(), all_of(r"\p{N}+|\P{N}+"))
+piece_query("pretok_digits_individual", pretokenize.digits(True), all_of(r"\p{N}|\P{N}+"))
+piece_query("pretok_bert", pretokenize.bert(), all_of(f"[{PUNCT}]|[^{PUNCT}{WS_RE2}]+"))
+_MARKED = f"regexp_replace(t, '[{WS_RE2}]', '▁', 'g')"
+piece_query("pretok_metaspace_never", pretokenize.metaspace(scheme="never"), all_of("▁?[^▁]+|▁", _MARKED))
+piece_query("pretok_metaspace_always", pretokenize.metaspace(), all_of("▁?[^▁]+|▁", f"case when {_MARKED} = '' or starts_with({_MARKED}, '▁') then {_MARKED} else '▁' || {_MARKED} end"))
+for _b in pretokenize.BEHAVIORS:
+    piece_query(f"pretok_split_{_b}", pretokenize.split("t", _b), all_of(pretokenize.class_pattern("t", _b)))
+piece_query("pretok_split_inverted", pretokenize.split(f"[{WORD}]+|[^{WORD}{WS_RE2}]+", "removed", True), all_of(f"[{WORD}]+|[^{WORD}{WS_RE2}]+"))
+piece_query("pretok_split_string", pretokenize.split("th", "removed"), "list_filter(string_split(t, 'th'), lambda x: x <> '')")
+piece_query(
+    "pretok_sequence",
+    pretokenize.sequence(pretokenize.whitespace_split(), pretokenize.punctuation()),
+    f"flatten(list_transform({all_of(f'[^{WS4}]+')}, lambda x: {all_of(f'[{PUNCT}]|[^{PUNCT}]+', 'x')}))",
+)
+piece_query("pretok_bytelevel_split", lambda c: F.filter(pretokenize.byte_level_split(c), lambda p: ~p.rlike(rf"\A[{WS_RE2}]+\z")), f"list_filter({all_of(BYTE_LEVEL + f'|[{WS_RE2}]')}, lambda x: not regexp_full_match(x, '[{WS_RE2}]+'))")
+piece_query("pretok_bytelevel", pretokenize.byte_level(), None)
+piece_query("pretok_unicode_script", pretokenize.unicode_script(), None)
+
+
+def _offsets(unit: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = pretokenize.with_offsets(pretokenize.punctuation()(F.col("text")), unit)
+        return _digest_pieces(read(spark, sf_dir, "documents"), F.transform(found, lambda p: F.concat_ws(":", p["start"], p["end"])))
+
+    return run
+
+
+for _unit, _len in (("char", "length"), ("byte", "strlen")):
+    QUERIES[f"pretok_offsets_{_unit}"] = _offsets(_unit)
+    SQL[f"pretok_offsets_{_unit}"] = f"""with p as (select doc_id, unnest({all_of(f'[{PUNCT}]|[^{PUNCT}]+', 'text')}) as x, generate_subscripts({all_of(f'[{PUNCT}]|[^{PUNCT}]+', 'text')}, 1) as i from documents),
+o as (select doc_id, i, sum({_len}(x)) over (partition by doc_id order by i) as e, {_len}(x) as n from p)
+select doc_id, count(*)::bigint as n, md5(string_agg((e - n)::bigint::varchar || ':' || e::bigint::varchar, chr(31) order by i)) as digest from o group by doc_id"""
+
+# --- fragments of the byte-pair model
+_BLANK = r"[ \t\n\x0B\f\r]*"
+_KEPT = {m: all_of(BPE_MODES[m]) for m in ("qwen2", "stablelm2", "gpt2", "llama3", "gpt4o", "default")}
+for _mode, _sql in _KEPT.items():
+    piece_query(f"bpepre_{_mode}", pretokenize.bpe(_mode), f"list_filter({_sql}, lambda x: not regexp_full_match(x, {re2(_BLANK)}))")
+piece_query("bpepre_gemma4", pretokenize.bpe("gemma4"), "[t]")
+_MARKS = r"^[\x00-\x08\x0B\x0C\x0E-\x1F!-&(-/:-@\[-`{-\x7F]"
+_AFTER_DIGITS = "substr(t, length(regexp_extract(t, '^[0-9]+')) + 1)"
+_NO_BLANK = f"lambda x: not regexp_full_match(x, {re2(_BLANK)})"
+piece_query(
+    "bpepre_starcoder",
+    pretokenize.bpe("starcoder"),
+    f"list_filter(list_filter([regexp_extract(t, '^[0-9]+')], lambda x: x <> '') || list_filter({all_of(BPE_MODES['gpt2'], _AFTER_DIGITS)}, lambda x: not regexp_matches(x, {re2(_MARKS)})), {_NO_BLANK})",
+)
+piece_query("bpepre_falcon", pretokenize.bpe("falcon"), f"list_filter({all_of(BPE_MODES['falcon'])}, {_NO_BLANK})")
+piece_query("bpepre_qwen35", pretokenize.bpe("qwen35"), f"list_filter({all_of(BPE_MODES['qwen35'])}, {_NO_BLANK})")
+piece_query("bpepre_deepseek", pretokenize.bpe("deepseek"), None)
+piece_query("bpepre_marked_spaces", pretokenize.bpe("gpt2", "Ġ"), None)
+
+# --- models
+_META = "case when t = '' then t else '▁' || regexp_replace(t, '[ \\t\\n\\r]', '▁', 'g') end"
+
+
+def _table(vocab: Vocab) -> str:
+    return "map {" + ", ".join(f"{quoted(t)}: {k}" for t, k in vocab.ids().items()) + "}"
+
+
+def _ids_sql(vocab: Vocab, text: str, unknown: str) -> str:
+    found = all_of(alternation(list(vocab.tokens)).removeprefix("(?s)"), text)
+    return f"list_filter(list_transform({found}, lambda x: coalesce({_table(vocab)}[x], {unknown})::varchar), lambda x: x is not null)"
+
+
+id_query("encode_spm", lambda c: encode.encode_native(c, V.SPM), _ids_sql(V.SPM, _META, "null"))
+id_query("encode_spm_unk", lambda c: encode.encode_native(c, V.SPM_UNK), _ids_sql(V.SPM_UNK, _META, "0"))
+id_query("encode_unigram", lambda c: encode.encode_native(c, V.UNIGRAM), _ids_sql(V.UNIGRAM, _META, "0"))
+_BPE_FRAGMENTS = f"list_filter({_KEPT['gpt2']}, {_NO_BLANK})"
+_BPE_FOUND = all_of(alternation(list(V.BPE.tokens)).removeprefix("(?s)"), "f")
+id_query(
+    "encode_bpe",
+    lambda c: encode.encode_native(c, V.BPE),
+    f"list_transform(flatten(list_transform({_BPE_FRAGMENTS}, lambda f: {_BPE_FOUND})), lambda x: coalesce({_table(V.BPE)}[x], case when unicode(x) < 128 then unicode(x) else -(unicode(x) + 1) end)::varchar)",
+)
+id_query("encode_bpe_kernel", lambda c: encode.encode_kernel(c, V.BPE), SQL["encode_bpe"].split(", ", 1)[1].partition("(select doc_id, ")[2].partition(" as p from")[0])
+id_query("encode_bpe_special", lambda c: encode.encode_kernel(c, V.BPE_SPECIAL), None)
+id_query("encode_wordpiece", lambda c: encode.encode_kernel(c, V.WORDPIECE), None)
+
+
+def _counts(vocab: Vocab) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", encode.count(F.col("text"), vocab).cast("bigint").alias("n_tokens"))
+
+
+for _name, _vocab in (("bpe", V.BPE), ("spm", V.SPM), ("unigram", V.UNIGRAM)):
+    QUERIES[f"count_{_name}"] = _counts(_vocab)
+    SQL[f"count_{_name}"] = f"select doc_id, n as n_tokens from ({SQL[f'encode_{_name}']})"
+QUERIES["count_wordpiece"] = _counts(V.WORDPIECE)
+
+
+def unigram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.round(encode.unigram_score(F.col("text"), V.UNIGRAM), 6).alias("score"))
+
+
+QUERIES["encode_unigram_score"] = unigram_score
+_SCORES = "map {" + ", ".join(f"{quoted(t)}: {float(s)!r}::double" for t, s in zip(V.UNIGRAM.tokens, V.UNIGRAM.score_of(), strict=True)) + "}"
+SQL["encode_unigram_score"] = f"select doc_id, round(list_sum(list_transform({all_of(alternation(list(V.UNIGRAM.tokens)).removeprefix('(?s)'), _META)}, lambda x: coalesce({_SCORES}[x], {float(V.UNIGRAM.score_of()[0])!r}::double))), 6) as score from (select doc_id, text as t from documents)"
+
+for _name, _vocab in (("bpe", V.BPE), ("spm", V.SPM_UNK), ("unigram", V.UNIGRAM), ("wordpiece", V.WORDPIECE)):
+    text_query(f"detok_{_name}", lambda c, v=_vocab: encode.detokenize(encode.encode(c, v), v), None)
+id_query("tokens_spm", lambda c: encode.tokens(encode.encode_native(c, V.SPM), V.SPM), f"list_filter({all_of(alternation(list(V.SPM.tokens)).removeprefix('(?s)'), _META)}, lambda x: {_table(V.SPM)}[x] is not null)")
+
+
+def spm_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each token occurs in each language."""
+    each = read(spark, sf_dir, "documents").select("lang", F.explode(encode.encode_native(F.col("text"), V.SPM)).alias("id"))
+    return each.groupBy("lang", "id").agg(F.count("*").alias("n"))
+
+
+QUERIES["spm_token_counts"] = spm_token_counts
+SQL["spm_token_counts"] = f"select lang, x::bigint as id, count(*) as n from (select lang, unnest({_ids_sql(V.SPM, _META, 'null')}) as x from (select lang, text as t from documents)) group by all"
+
+# --- vocabularies as tables, made of the names in the dimension tables
+
+
+def _words(spark: SparkSession, sf_dir: str, table: str, key: str, name: str) -> DataFrame:
+    rows = read(spark, sf_dir, table).select(F.col(key).alias("id"), F.lower(name).alias("token"))
+    return vocabulary.renumbered(rows, "id").select("id", "token")
+
+
+def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a = _words(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    b = read(spark, sf_dir, "nation").filter("n_regionkey < 2").select("n_nationkey", F.lower("n_name").alias("token"))
+    more = read(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).alias("n_nationkey"), F.lower("r_name").alias("token"))
+    return a, vocabulary.renumbered(b.unionByName(more), "n_nationkey").select("id", "token")
+
+
+_SETS = """with a as (select row_number() over (order by n_nationkey) - 1 as id, lower(n_name) as token from nation),
+b as (select row_number() over (order by k) - 1 as id, token from (select n_nationkey as k, lower(n_name) as token from nation where n_regionkey < 2 union all select r_regionkey + 1000, lower(r_name) from region)) """
+QUERIES["vocab_union"] = lambda spark, sf_dir: vocabulary.union(*_two(spark, sf_dir))
+SQL["vocab_union"] = _SETS + "select row_number() over (order by s, id) - 1 as id, token from (select id, token, 0 as s from a union all select min(id), token, 1 from b where token not in (select token from a) group by token)"
+QUERIES["vocab_intersect"] = lambda spark, sf_dir: vocabulary.intersect(*_two(spark, sf_dir))
+SQL["vocab_intersect"] = _SETS + "select row_number() over (order by id) - 1 as id, token from a where token in (select token from b)"
+QUERIES["vocab_trim"] = lambda spark, sf_dir: vocabulary.trim(*_two(spark, sf_dir))
+SQL["vocab_trim"] = _SETS + "select row_number() over (order by id) - 1 as id, token from a where token not in (select token from b)"
+QUERIES["vocab_append"] = lambda spark, sf_dir: vocabulary.append(_two(spark, sf_dir)[0], ["<new>", "<other>"])
+SQL["vocab_append"] = _SETS + "select id, token from a union all select (select count(*) from a) + i, x from (values (0, '<new>'), (1, '<other>')) v(i, x)"
+
+
+def _pieces_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.explode(pretokenize.whitespace()(F.lower("text"))).alias("token"))
+
+
+def vocab_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.coverage(_pieces_of(spark, sf_dir), V.SPM.frame(spark).select("id", F.regexp_replace("token", "▁", "").alias("token")))
+
+
+QUERIES["vocab_coverage"] = vocab_coverage
+_TOKENS = ", ".join(f"({k}, {quoted(t)})" for k, t in enumerate(V.SPM.tokens))
+_PIECES = f"select unnest({all_of(f'[{WORD}]+|[^{WORD}{WS_RE2}]+', 'lower(text)')}) as token from documents"
+SQL["vocab_coverage"] = f"select token, count(*) as n, token in (select replace(t, '▁', '') from (values {_TOKENS}) v(i, t)) as known from ({_PIECES}) group by token"
+
+
+def vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _pieces_of(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n"))
+    return encode.lookup(counts, V.BPE.frame(spark)).select("token", "n", "id")
+
+
+QUERIES["vocab_lookup_id"] = vocab_lookup
+_BPE_TOKENS = ", ".join(f"({k}, {quoted(t)})" for k, t in enumerate(V.BPE.tokens))
+SQL["vocab_lookup_id"] = f"select p.token, count(*) as n, coalesce(max(v.i), -1) as id from ({_PIECES}) p left join (select t, max(i) as i from (values {_BPE_TOKENS}) v(i, t) group by t) v on v.t = p.token group by p.token"
+
+# --- encodings: ids of the SentencePiece vocabulary
+_IDS = f"list_transform({_ids_sql(V.SPM_UNK, _META, '0')}, lambda x: x::bigint)"
+_DOCS = f"(select doc_id, {_IDS} as ids from (select doc_id, text as t from documents))"
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", encode.encode_native(F.col("text"), V.SPM_UNK).alias("ids"))
+
+
+def _id_digest(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select("doc_id", *keys, F.size("ids").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary")).alias("digest"))
+
+
+_DIGEST = "len(ids)::bigint as n, md5(array_to_string(ids, ',')) as digest"
+
+
+def enc_query(name: str, f: Callable[[Column], Column], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _id_digest(_encoded(spark, sf_dir).withColumn("ids", f(F.col("ids"))))
+    SQL[name] = f"select doc_id, {_DIGEST} from (select doc_id, {sql} as ids from {_DOCS})"
+
+
+enc_query("enc_truncate", lambda ids: encoding.truncated(ids, 100), "ids[1:100]")
+enc_query("enc_pad_right_fixed", lambda ids: encoding.padded(ids, 500, -1), "ids || list_transform(range(greatest(500 - len(ids), 0)), lambda x: -1::bigint)")
+enc_query("enc_pad_left_fixed", lambda ids: encoding.padded(ids, 500, -1, True), "list_transform(range(greatest(500 - len(ids), 0)), lambda x: -1::bigint) || ids")
+enc_query("enc_attention_mask", lambda ids: encoding.attention(encoding.truncated(ids, 300), 300), "list_transform(ids[1:300], lambda x: 1::bigint) || list_transform(range(greatest(300 - len(ids), 0)), lambda x: 0::bigint)")
+QUERIES["enc_truncate_stride"] = lambda spark, sf_dir: _id_digest(encoding.parts(_encoded(spark, sf_dir), "ids", 128, 32), "part")
+SQL["enc_truncate_stride"] = f"select doc_id, k::int as part, {_DIGEST} from (select doc_id, k, ids[k * 96 + 1 : k * 96 + 128] as ids from (select doc_id, ids, unnest(range(greatest(ceil((len(ids) - 128) / 96.0), 0)::bigint + 1)) as k from {_DOCS}))"
+
+
+def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches = encoding.numbered_batches(_encoded(spark, sf_dir), "doc_id", 16)
+    return _id_digest(encoding.pad_batches(batches, "ids", "batch", 0, 8))
+
+
+QUERIES["enc_pad_batch_longest"] = pad_batch
+SQL["enc_pad_batch_longest"] = f"select doc_id, {_DIGEST} from (select doc_id, ids || list_transform(range((ceil(max(len(ids)) over (partition by doc_id // 16) / 8.0) * 8)::bigint - len(ids)), lambda x: 0::bigint) as ids from {_DOCS})"
+
+
+def _pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation with the next one, as ids."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", encode.encode_native(F.col("text"), V.SPM_UNK).alias("a"))
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
+    return rows.join(after, ["conv_id", "turn"])
+
+
+_TURNS = f"(select conv_id, turn, {_IDS} as a from (select conv_id, turn, text as t from conversations))"
+_PAIRS = f"(select x.conv_id, x.turn, x.a, y.a as b, len(x.a) as la, len(y.a) as lb from {_TURNS} x join {_TURNS} y on x.conv_id = y.conv_id and x.turn + 1 = y.turn)"
+
+
+def pair_query(name: str, strategy: str, a: str, b: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        n_a, n_b = encoding.pair_lengths(F.size("a"), F.size("b"), 512, strategy)
+        return _pair_rows(spark, sf_dir).select("conv_id", "turn", n_a.cast("bigint").alias("n_a"), n_b.cast("bigint").alias("n_b"))
+
+    QUERIES[name] = run
+    SQL[name] = f"select conv_id, turn, ({a})::bigint as n_a, ({b})::bigint as n_b from {_PAIRS}"
+
+
+_FIRST = "case when la + lb <= 512 then la when la <= 256 then la when lb <= 256 then 512 - lb else 256 end"
+pair_query("enc_truncate_longest_first", "longest_first", _FIRST, f"case when la + lb <= 512 then lb else 512 - ({_FIRST}) end")
+pair_query("enc_truncate_only_first", "only_first", "greatest(la - greatest(la + lb - 512, 0), 0)", "lb")
+pair_query("enc_truncate_only_second", "only_second", "la", "greatest(lb - greatest(la + lb - 512, 0), 0)")
+
+
+def merge_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = lambda ids: F.transform(ids, lambda x, i: F.struct(i.alias("start"), (i + 1).alias("end")))
+    merged = encoding.merged_offsets(spans(F.col("a")), spans(F.col("b")))
+    return _pair_rows(spark, sf_dir).select("conv_id", "turn", F.size(merged).cast("bigint").alias("n"), F.element_at(merged, -1)["end"].cast("bigint").alias("last"))
+
+
+QUERIES["enc_merge_growing"] = merge_growing
+SQL["enc_merge_growing"] = f"select conv_id, turn, la + lb as n, la + lb as last from {_PAIRS}"
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character pieces of each word with their offsets and word numbers, for the look-ups."""
+    words = pretokenize.with_offsets(pretokenize.split_class(" ", "isolated")(F.col("text")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: F.struct(w["start"], w["end"])).alias("offsets"), F.transform(words, lambda w, i: F.when(w["value"] == " ", -1).otherwise(F.expr("0") + i)).alias("words"))
+
+
+_OFF = f"""with p as (select doc_id, unnest({all_of('[ ]|[^ ]+', 'text')}) as x, generate_subscripts({all_of('[ ]|[^ ]+', 'text')}, 1) - 1 as i from documents),
+o as (select doc_id, x, i, sum(length(x)) over (partition by doc_id order by i) as e from p) """
+
+
+def _lookup(name: str, f: Callable[[], Column], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _spans(spark, sf_dir).select("doc_id", f().cast("bigint").alias("found"))
+    SQL[name] = _OFF + f"select d.doc_id, r.found::bigint as found from documents d left join (select doc_id, {sql} group by doc_id) r using (doc_id)"
+
+
+_lookup("enc_char2token", lambda: encoding.char_to_token(F.col("offsets"), 50), "min(i) as found from o where e > 50 and e - length(x) <= 50")
+_lookup("enc_char2word", lambda: encoding.char_to_word(F.col("words"), F.col("offsets"), 50), "min(i) as found from o where e > 50 and e - length(x) <= 50 and x <> ' '")
+_lookup("enc_word2tokens", lambda: encoding.word_to_tokens(F.col("words"), 10)["end"], "min(i) + 1 as found from o where i = 10 and x <> ' '")
+_lookup("enc_word2chars", lambda: encoding.word_to_chars(F.col("words"), F.col("offsets"), 10)["end"], "min(e) as found from o where i = 10 and x <> ' '")
+
+# --- post-processors
+_CLS, _SEP = 101, 102
+
+
+def post_query(name: str, f: Callable[[DataFrame], DataFrame], ids: str, types: str, special: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = f(_pair_rows(spark, sf_dir))
+        text = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").cast("binary"))
+        return made.select("conv_id", "turn", F.size("ids").cast("bigint").alias("n"), text("ids").alias("ids"), text("type_ids").alias("types"), text("special_tokens_mask").alias("special"))
+
+    QUERIES[name] = run
+    SQL[name] = f"select conv_id, turn, len({ids})::bigint as n, md5(array_to_string({ids}, ',')) as ids, md5(array_to_string({types}, ',')) as types, md5(array_to_string({special}, ',')) as special from {_PAIRS}"
+
+
+def _all(side: str, value: int) -> str:
+    return f"list_transform({side}, lambda x: {value})"
+
+
+post_query("post_bert_single", lambda d: postprocess.bert(d, _CLS, _SEP, "a"), "[101] || a || [102]", f"[0] || {_all('a', 0)} || [0]", f"[1] || {_all('a', 0)} || [1]")
+post_query("post_bert_pair", lambda d: postprocess.bert(d, _CLS, _SEP, "a", "b"), "[101] || a || [102] || b || [102]", f"[0] || {_all('a', 0)} || [0] || {_all('b', 1)} || [1]", f"[1] || {_all('a', 0)} || [1] || {_all('b', 0)} || [1]")
+post_query("post_roberta_single", lambda d: postprocess.roberta(d, 0, 2, "a"), "[0] || a || [2]", f"[0] || {_all('a', 0)} || [0]", f"[1] || {_all('a', 0)} || [1]")
+post_query("post_roberta_pair", lambda d: postprocess.roberta(d, 0, 2, "a", "b"), "[0] || a || [2, 2] || b || [2]", f"[0] || {_all('a', 0)} || [0, 1] || {_all('b', 1)} || [1]", f"[1] || {_all('a', 0)} || [1, 1] || {_all('b', 0)} || [1]")
+_SPECIALS = {"[CLS]": [1], "[SEP]": [0, 7]}
+post_query("post_template_single", lambda d: postprocess.template(d, "[CLS] $A:3 [SEP]", _SPECIALS, "a"), "[1] || a || [0, 7]", f"[0] || {_all('a', 3)} || [0, 0]", f"[1] || {_all('a', 0)} || [1, 1]")
+post_query("post_template_pair", lambda d: postprocess.template(d, "", _SPECIALS, "a", "$B:2 [SEP] $A [CLS]:1", "b"), "b || [0, 7] || a || [1]", f"{_all('b', 2)} || [0, 0] || {_all('a', 0)} || [1]", f"{_all('b', 0)} || [1, 1] || {_all('a', 0)} || [1]")
+
+
+def overflow_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pair_rows(spark, sf_dir).withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
+    side = lambda c: encoding.parts(rows.select("key", F.col(c).alias("ids")), "ids", 256, 16)
+    return postprocess.overflow_pairs(side("a"), side("b"), "key").select("key", "part_a", "part_b", F.size("ids_a").cast("bigint").alias("n_a"), F.size("ids_b").cast("bigint").alias("n_b"))
+
+
+QUERIES["post_overflow_pairs"] = overflow_pairs
+_PARTS = "unnest(range(greatest(ceil((len({0}) - 256) / 240.0), 0)::bigint + 1))"
+SQL["post_overflow_pairs"] = f"""select key, i::int as part_a, j::int as part_b, len(a[i * 240 + 1 : i * 240 + 256])::bigint as n_a, len(b[j * 240 + 1 : j * 240 + 256])::bigint as n_b
+from (select *, {_PARTS.format('b')} as j from (select conv_id * 1000 + turn as key, a, b, {_PARTS.format('a')} as i from {_PAIRS}))"""
+
+# --- decoders: words of the text stand for tokens
+_W = all_of(f"[^{WS4}]+")
+_words_of = pretokenize.whitespace_split()
+
+
+def dec_query(name: str, f: decode.Decoder, sql: str | None) -> None:
+    piece_query(name, lambda c: f(_words_of(c)), sql and f"(select {sql} from (select {_W} as w))")
+
+
+_CLEANED = "x"
+for _find, _by in decode.CLEANUP:
+    _CLEANED = f"replace({_CLEANED}, {quoted(_find)}, {quoted(_by)})"
+dec_query("dec_bpe", decode.bpe("n"), "list_transform(w, lambda x, i: replace(x, 'n', case when i = len(w) then '' else ' ' end))")
+_PART = "list_transform(w, lambda x, i: case when i = 1 then x when starts_with(x, 'th') then substr(x, 3) else ' ' || x end)"
+dec_query("dec_wordpiece", decode.wordpiece("th"), f"list_transform({_PART}, lambda x: {_CLEANED})")
+dec_query("dec_ctc", decode.ctc("of", "a"), f"list_filter(list_transform(list_transform(list_filter(w, lambda x, i: i = 1 or x <> w[i - 1]), lambda x: replace(x, 'of', '')), lambda x: replace({_CLEANED}, 'a', ' ')), lambda x: x <> '')")
+dec_query("dec_fuse", decode.fuse(), "[array_to_string(w, '')]")
+dec_query("dec_strip", decode.strip("t", 1, 1), "list_transform(w, lambda x: regexp_replace(regexp_replace(x, '^t{0,1}', ''), 't{0,1}$', ''))")
+dec_query("dec_metaspace", decode.metaspace("e"), "list_transform(w, lambda x, i: replace(x, 'e', case when i = 1 then '' else ' ' end))")
+dec_query("dec_replace", decode.replace("th", "z"), "list_transform(w, lambda x: replace(x, 'th', 'z'))")
+dec_query("dec_sequence", decode.sequence(decode.replace("th", "z"), decode.fuse()), "[replace(array_to_string(list_transform(w, lambda x: replace(x, 'th', 'z')), chr(30)), chr(30), '')]")
+dec_query("dec_byte_fallback", decode.byte_fallback(), None)
+dec_query("dec_bytelevel", lambda t: decode.byte_level()(F.transform(t, pretokenize.to_bytes)), "[array_to_string(w, '')]")
+
+# --- added tokens
+_ADDED = [added.AddedToken("the"), added.AddedToken("License", special=True), added.AddedToken("thth")]
+piece_query("added_extract", lambda c: F.transform(added.extract(c, _ADDED), lambda p: p["piece"]), None)
+piece_query("added_hits", lambda c: F.transform(F.filter(added.extract(c, _ADDED), lambda p: p["hit"]), lambda p: p["piece"]), all_of("License|thth|the"))
+piece_query("added_single_word", lambda c: F.transform(F.filter(added.extract(c, [added.AddedToken("the", single_word=True)]), lambda p: p["hit"]), lambda p: p["piece"]), None)
+piece_query("added_strip_flags", lambda c: F.transform(F.filter(added.extract(c, [added.AddedToken("of", lstrip=True, rstrip=True)]), lambda p: p["hit"]), lambda p: p["piece"]), all_of(f"[{WS_UNICODE}]*of[{WS_UNICODE}]*"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
