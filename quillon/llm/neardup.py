@@ -23,7 +23,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -343,6 +343,11 @@ def near_duplicates(docs: DataFrame, task_elements: int = TASK_ELEMENTS) -> Data
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "component", "digest")
 
 
+def key_of(name: str) -> Column:
+    """An id as text that is never null."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("null"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id.
 
@@ -350,7 +355,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     found = near_duplicates(docs).filter("component is not null and kept")
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(F.col("first.doc_id").alias("of_doc"), F.col("first.digest").alias("of_digest"))
-    rows = docs.filter(~wordless).withColumn("__digest", F.xxhash64("text"))
-    rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("__digest") == F.col("of_digest")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__digest"]).select(*docs.columns).unionByName(docs.filter(wordless))
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(key_of("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
+    rows = docs.filter(~wordless).withColumn("__id", key_of("doc_id")).withColumn("__digest", F.xxhash64("text"))
+    # the join's partitioning serves to drop repeats, so texts are shuffled once
+    rows = rows.join(first, ["__id", "__digest"], "left_semi")
+    return rows.dropDuplicates(["__id", "__digest"]).select(*docs.columns).unionByName(docs.filter(wordless))
