@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.models import META, Bpe, Unigram, new_model, space_mark
-from quillon.functions.regex import alternation
+from quillon.functions.regex import longest_of
 from quillon.operators.pretokenize import bpe, find_all
 from quillon.schema import Vocab
 
-#: Vocabularies up to this size become an expression; the compiled alternation stays small.
-NATIVE_TOKENS = 2000
+#: Vocabularies up to this size become an expression; a map expression is searched entry by entry, so larger ones go to the kernel.
+NATIVE_TOKENS = 256
 
 
 def _map(vocab: Vocab) -> Column:
@@ -28,7 +28,7 @@ def meta(c: Column) -> Column:
 
 def pieces(c: Column, vocab: Vocab) -> Column:
     """Longest vocabulary entries, and single characters where there is none."""
-    return find_all(c, alternation(list(vocab.tokens)))
+    return find_all(c, longest_of(list(vocab.tokens)))
 
 
 def to_ids(found: Column, vocab: Vocab) -> Column:
@@ -83,7 +83,11 @@ def encode(c: Column, vocab: Vocab) -> Column:
 
 
 def count(c: Column, vocab: Vocab) -> Column:
-    """Number of ids; the kernel sends back only the number."""
+    """Number of ids, without making them where the model allows it; the kernel sends back only the number."""
+    marks = int(vocab.add_bos and vocab.bos is not None) + int(vocab.add_eos and vocab.eos is not None)
+    if vocab.model in ("spm", "unigram") and vocab.tokens and (vocab.unk is not None or vocab.model == "spm"):
+        pattern = longest_of(list(vocab.tokens), or_any=vocab.unk is not None)
+        return F.when(c == "", 0).otherwise(F.regexp_count(meta(c), F.lit(pattern)) + marks)
     try:
         return F.size(encode_native(c, vocab))
     except ValueError:
