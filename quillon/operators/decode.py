@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.operators.pretokenize import byte_alphabet
 
@@ -91,7 +92,7 @@ def byte_fallback() -> Decoder:
                 out.append(t)
         return out
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def apply(tokens: pd.Series) -> pd.Series:
         return tokens.map(one)
 
@@ -102,7 +103,7 @@ def byte_level() -> Decoder:
     """Byte characters as bytes, joined and read as UTF-8; a character that stands for no byte is byte 0."""
     value = {c: b for b, c in enumerate(byte_alphabet())}
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def apply(tokens: pd.Series) -> pd.Series:
         return tokens.map(lambda t: None if t is None else [bytes(value.get(c, 0) for x in t for c in x).decode("utf-8", "replace")])
 

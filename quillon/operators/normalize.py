@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.regex import CJK, CONTROL, WS_UNICODE
 
@@ -37,7 +38,7 @@ def strip_accents() -> Normalizer:
 
 
 def unicode_form(form: str) -> Normalizer:
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def normal(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
 
