@@ -81,13 +81,14 @@ def features(docs: DataFrame) -> DataFrame:
 
     def make() -> Callable:
         def one(batch: pa.RecordBatch):
-            data = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            base = [base_counts(x) for x in data]
-            names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-            yield {"doc_id": batch.column("doc_id"), "lang": batch.column("lang")} | {n: [b[k] for b in base] for k, n in enumerate(names)} | {
-                "chars": [char_histogram(x) for x in data],
-                "words": [word_histogram(x) for x in data],
-            }
+            for part in slices(batch):
+                data = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
+                base = [base_counts(x) for x in data]
+                names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+                yield {"doc_id": part.column("doc_id"), "lang": part.column("lang")} | {n: [b[k] for b in base] for k, n in enumerate(names)} | {
+                    "chars": [char_histogram(x) for x in data],
+                    "words": [word_histogram(x) for x in data],
+                }
 
         return one
 
