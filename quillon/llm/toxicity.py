@@ -7,8 +7,9 @@ tables' label; a labelled toxic text belongs to insult or contempt if it holds a
 The decision threshold is the one with the best F1 on out-of-fold probabilities.
 
 The models are fitted on a bounded sample of labelled rows (``TRAIN_ROWS``) and a vocabulary of at
-most ``VOCABULARY`` words that tell toxic from clean beyond chance.  Copies would make any word of
-theirs look telling, so texts count by a min-hash of their words: near copies count about once.
+most ``VOCABULARY`` words that stand in a greater share of the toxic texts than of the clean ones,
+beyond chance.  Copies would make any word of theirs look telling, so the near-duplicates of a label
+(components as in ``neardup``) count as one text; all other texts count.
 
 Defined cases: null, empty or wordless texts are not toxic with score 0; labels without a document,
 with a null label or a null id are not learned from; without any usable label of both kinds nothing is
@@ -18,6 +19,7 @@ toxic; repeated rows are judged alike; one output row for each input row.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm import neardup
 from quillon.llm.common import cut, map_batches, py_crc_fold, slices
 
 TRAIN_ROWS, VOCABULARY, FOLDS = 8000, 400, 5
@@ -156,30 +159,49 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Chain |
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     sample = chosen.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).limit(most)  # at most ``most`` rows: safe to broadcast
 
-    def make() -> Callable:
+    def counting() -> Callable:
         def one(batch: pa.RecordBatch):
             for part in slices(batch):
-                yield {"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "words": [sorted({f for w in words(t) for f in features(w)}) for t in part.column("text").to_pylist()]}
+                count: Counter = Counter()
+                for t, toxic, kind in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "kind")), strict=True):
+                    if known := words(t):
+                        count.update((f, toxic, kind) for f in {None, *(f for w in known for f in features(w))})
+                yield {"word": [k[0] for k in count], "toxic": [k[1] for k in count], "kind": [k[2] for k in count], "n": list(count.values())}
 
         return one
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    seen = cut(map_batches(rows.select("doc_id", "toxic", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic boolean, words array<string>"))
-    seen = seen.withColumn("kind", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
-    sizes = seen.agg(F.countDistinct(F.when(F.col("toxic"), F.col("kind"))), F.countDistinct(F.when(~F.col("toxic"), F.col("kind")))).head()
-    if not sizes[0] or not sizes[1]:
+    # the sample's texts are read more than once: for copies, for counts and for what they hold
+    texts = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text"))
+    kinds = cut(neardup.near_duplicates(texts).filter("component is not null").select("doc_id", "digest", F.col("component").alias("kind")).distinct())
+    copied = kinds.groupBy("kind").agg(F.count("*").alias("copies")).filter("copies > 1").select("kind")
+    # a null kind is a text without copies; the null word counts the texts
+    kinds = kinds.join(copied, "kind", "left_semi")
+    told = texts.distinct().withColumn("digest", F.xxhash64("text")).join(kinds, ["doc_id", "digest"], "left")
+    counts = map_batches(told.select("text", "toxic", "kind"), counting, "word string, toxic boolean, kind binary, n bigint").groupBy("word", "toxic", "kind").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("n", F.when(F.col("kind").isNull(), F.col("n")).otherwise(1))
+    counts = cut(counts.groupBy("word").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("good")).filter("bad + good > 4 or word is null"))
+    sizes = counts.filter("word is null").select("bad", "good").head()
+    if sizes is None or not sizes[0] or not sizes[1]:
         return None
-    texts = seen.select("toxic", "kind", F.explode("words").alias("word")).distinct()
-    counts = texts.groupBy("word").agg(F.count(F.when(F.col("toxic"), 1)).alias("bad"), F.count(F.when(~F.col("toxic"), 1)).alias("good"))
     share = sizes[0] / (sizes[0] + sizes[1])
     n = F.col("bad") + F.col("good")
     part = lambda k, expected: F.when(k > 0, 2 * k * F.log(k / expected)).otherwise(0.0)
     ratio = part(F.col("bad"), n * share) + part(F.col("good"), n * (1 - share))
-    best = counts.filter("bad + good > 4 and bad >= good").withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "word").limit(VOCABULARY)
+    best = counts.filter("word is not null and bad + good > 4").filter(F.col("bad") * sizes[1] > F.col("good") * sizes[0]).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "word").limit(VOCABULARY)
     vocabulary = sorted(r[0] for r in best.select("word").collect())
-    known = F.array(*[F.lit(w) for w in sorted(set().union(*TERMS.values()))])
-    listed = seen.select("doc_id", "toxic", F.array_intersect("words", known).alias("terms"), F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary])).alias("words")).collect()
-    rows = [(r[0], r[1], r[3], [c for c in TERMS if TERMS[c] & set(r[2])]) for r in listed]
+
+    def listing() -> Callable:
+        lookup = Lookup({w: k for k, w in enumerate(vocabulary)})
+
+        def one(batch: pa.RecordBatch):
+            for part in slices(batch):
+                known = [words(t) for t in part.column("text").to_pylist()]
+                held = [[vocabulary[k] for k in sorted(lookup(w))] for w in known]
+                yield {"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "words": held, "categories": [[c for c in TERMS if TERMS[c] & w] for w in known]}
+
+        return one
+
+    rows = [tuple(r) for r in map_batches(texts, listing, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic boolean, words array<string>, categories array<string>").collect()]
     return fit_chain(sorted(rows, key=lambda r: (r[0], r[2])), vocabulary)
 
 

@@ -326,3 +326,24 @@ def test_toxicity(spark, words):
     assert len(got) == len(rows) and not got[1000].toxic and got[1001].score == 0 and got[1002].toxic
     assert np.mean([got[i].toxic == bool(t) for i, _, t in labels]) > 0.98
     assert toxicity.classify(table(spark, rows), lab.limit(0)).filter("toxic").count() == 0
+
+
+def test_toxicity_counts_texts(spark, words):
+    """Long texts of one language share nearly all words, yet each counts; near copies count as one text."""
+    rng = random.Random(12)
+    long = lambda: [rng.choice(words) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(240):
+        w = long()
+        if i % 4 == 0:
+            w[rng.randrange(300)] = "gruzzq"
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    copied = [*long(), "zorbiq"]
+    for i in range(240, 290):
+        w = list(copied)
+        w[rng.randrange(300)] = words[i % 5]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, 1))
+    chain = toxicity.learn(table(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert "gruzzq" in chain.vocabulary and "zorbiq" not in chain.vocabulary
