@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm import decontam, mixing, neardup, quality, secrets
 from quillon.llm.common import cut, documents, table
 
+#: Near copies are at least this similar, by five-word shingles.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.one_of_each(docs)
+    return neardup.one_of_each(docs, NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

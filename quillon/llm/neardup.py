@@ -19,7 +19,9 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,10 @@ from pyspark.sql.window import Window as W
 from quillon.llm.common import cut, map_batches, slices
 
 SHINGLE = 5
-#: Link if 100 * intersection >= PERCENT * union.
+#: Link if 100 * intersection >= percent * union, by default this percent.
 PERCENT = 85
-#: Each band takes both values of ROWS / 2 permutations; a pair at 0.85 shares no band with probability 4e-7.
-BANDS, ROWS = 20, 4
+#: Each band takes both values of ROWS / 2 permutations; a pair at the threshold shares no band with at most this probability.
+ROWS, MISS = 4, 4e-7
 #: Parts whose members differ from their hub in at most so many shingles in all are settled in one task.
 TASK_ELEMENTS = 400_000
 
@@ -53,10 +55,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _PLACES = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
-_TURNS = (mix(np.arange(100, 100 + BANDS * ROWS // 2, dtype=np.uint64)) | np.uint64(1))[:, None]
-_SHIFTS = mix(np.arange(500, 500 + BANDS * ROWS // 2, dtype=np.uint64))[:, None]
 _BAND_TURNS = (mix(np.arange(900, 900 + ROWS, dtype=np.uint64)) | np.uint64(1))[None, :]
-_BAND_SALT = mix(np.arange(990, 990 + BANDS, dtype=np.uint64))
+
+
+def bands_for(percent: int) -> int:
+    """Bands that keep the probability of missing a pair at the threshold: 20 at 85, 28 at 80."""
+    return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+@cache
+def _permutations(bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and shifts of the permutations, and a salt for each band."""
+    n = bands * ROWS // 2
+    turns = (mix(np.arange(100, 100 + n, dtype=np.uint64)) | np.uint64(1))[:, None]
+    return turns, mix(np.arange(500, 500 + n, dtype=np.uint64))[:, None], mix(np.arange(990, 990 + bands, dtype=np.uint64))
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
@@ -92,15 +104,17 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
+def band_keys(shingles: np.ndarray, bands: int) -> np.ndarray:
     """The band keys of a non-empty set: hashes of the least and greatest images under each permutation."""
-    image = shingles.view(np.uint64)[None, :] * _TURNS + _SHIFTS
-    both = np.stack([image.min(1), image.max(1)], 1).reshape(BANDS, ROWS)
-    return mix((mix(both) * _BAND_TURNS).sum(1, dtype=np.uint64) + _BAND_SALT).view(np.int64)
+    turns, shifts, salt = _permutations(bands)
+    image = shingles.view(np.uint64)[None, :] * turns + shifts
+    both = np.stack([image.min(1), image.max(1)], 1).reshape(bands, ROWS)
+    return mix((mix(both) * _BAND_TURNS).sum(1, dtype=np.uint64) + salt).view(np.int64)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """For each row: doc_id, digest (of the text), n_shingles, node (digest of the set; null if empty) and its band keys."""
+    bands = bands_for(percent)
 
     def make() -> Callable:
         def one(batch: pa.RecordBatch):
@@ -111,7 +125,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     "digest": part.column("digest"),
                     "n_shingles": [len(s) for s in sets],
                     "node": [_digest(s) if len(s) else None for s in sets],
-                    "bands": [band_keys(s).tolist() if len(s) else None for s in sets],
+                    "bands": [band_keys(s, bands).tolist() if len(s) else None for s in sets],
                 }
 
         return one
@@ -138,12 +152,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(rows.select("text"), make, "node binary, shingles array<bigint>").dropDuplicates(["node"])
 
 
-def needed(own: int, other: int) -> int:
+def needed(own: int, other: int, percent: int = PERCENT) -> int:
     """Least intersection of linked sets of these sizes."""
-    return -(-PERCENT * (own + other) // (100 + PERCENT))
+    return -(-percent * (own + other) // (100 + percent))
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def compare(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``pairs`` (part, hub, node) tested on full sets.
 
     Adds n and hub_n (sizes), linked, extra (the node's shingles outside the hub), missing (the hub's
@@ -167,8 +181,8 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 shared = int(same.sum())
                 absent = np.ones(len(h), bool)
                 absent[at[same]] = False
-                least = max(1, needed(len(w), max(len(h), -(-PERCENT * len(w) // 100))) - shared)
-                for name, value in zip(out, (len(w), len(h), 100 * shared >= PERCENT * (len(w) + len(h) - shared), w[~same].tolist(), h[absent].tolist(), len(w) - shared - least + 1), strict=True):
+                least = max(1, needed(len(w), max(len(h), -(-percent * len(w) // 100)), percent) - shared)
+                for name, value in zip(out, (len(w), len(h), 100 * shared >= percent * (len(w) + len(h) - shared), w[~same].tolist(), h[absent].tolist(), len(w) - shared - least + 1), strict=True):
                     out[name].append(value)
             yield {c: batch.column(c) for c in ("part", "hub", "node")} | out
 
@@ -178,7 +192,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both.select("part", "hub", "node", "shingles", "hub_shingles"), make, ddl)
 
 
-def settle(rows: DataFrame) -> DataFrame:
+def settle(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) inside whole parts of bounded size: enough of them to connect all that are linked.
 
     The rows of a part are streamed to one task, which holds one part at a time and needs only what
@@ -194,16 +208,16 @@ def settle(rows: DataFrame) -> DataFrame:
             for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if row[0] != now:
                     if held:
-                        yield pa.RecordBatch.from_pylist(_links_of(held), schema=want)
+                        yield pa.RecordBatch.from_pylist(_links_of(held, percent), schema=want)
                     held, now = [], row[0]
                 held.append(row[1:])
         if held:
-            yield pa.RecordBatch.from_pylist(_links_of(held), schema=want)
+            yield pa.RecordBatch.from_pylist(_links_of(held, percent), schema=want)
 
     return ordered.select(*columns).mapInArrow(task, "a binary, b binary")
 
 
-def _links_of(members: list[tuple]) -> list[dict]:
+def _links_of(members: list[tuple], percent: int) -> list[dict]:
     """Spanning links among members (node, n, hub_n, linked, extra, missing) of one part.
 
     Only pairs with an unlinked member that share a shingle outside the hub can be new links.
@@ -232,7 +246,7 @@ def _links_of(members: list[tuple]) -> list[dict]:
         others = np.flatnonzero(count)
         both = lacking.shared(i, len(node))
         inter = hub - lacks[i] - lacks[others] + count[others] + (0 if both is None else both[others])
-        for j in others[100 * inter >= PERCENT * (size[i] + size[others] - inter)].tolist():
+        for j in others[100 * inter >= percent * (size[i] + size[others] - inter)].tolist():
             a, b = find(i), find(j)
             if a != b:
                 root[a] = b
@@ -279,7 +293,7 @@ def divide(tested: DataFrame) -> DataFrame:
     return with_hubs(prefix.join(live, "group", "left_semi").select("part", "group", "node", "n"), "group")
 
 
-def links(docs: DataFrame, sketches: DataFrame, task_elements: int = TASK_ELEMENTS) -> DataFrame | None:
+def links(docs: DataFrame, sketches: DataFrame, task_elements: int = TASK_ELEMENTS, percent: int = PERCENT) -> DataFrame | None:
     """Pairs (a, b) of nodes that are linked on full sets; enough of them to connect every linked pair."""
     nodes = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = nodes.select(F.lit(0).cast("bigint").alias("part"), F.explode("bands").alias("band"), "node", "n")
@@ -290,12 +304,12 @@ def links(docs: DataFrame, sketches: DataFrame, task_elements: int = TASK_ELEMEN
     sets = cut(full_sets(docs, nodes.select("node", "rep").join(members, "node", "left_semi")))
     found = None
     while True:
-        tested = cut(compare(pairs, sets))
+        tested = cut(compare(pairs, sets, percent))
         linked = tested.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         cost = F.sum(F.size("extra") + F.size("missing") + 8)
         parts = tested.groupBy("part").agg(F.count("*").alias("members"), F.min("linked").alias("all_linked"), cost.alias("cost"))
         parts = cut(parts.filter("members > 1 and not all_linked").select("part", (F.col("cost") <= task_elements).alias("small")))
-        inside = cut(settle(tested.join(parts.filter("small"), "part", "left_semi")))
+        inside = cut(settle(tested.join(parts.filter("small"), "part", "left_semi"), percent))
         found = linked.union(inside) if found is None else found.union(linked).union(inside)
         large = parts.filter("not small")
         if large.isEmpty():
@@ -328,10 +342,10 @@ def components(edges: DataFrame) -> DataFrame:
         last = this
 
 
-def near_duplicates(docs: DataFrame, task_elements: int = TASK_ELEMENTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, task_elements: int = TASK_ELEMENTS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row, and component (a node that stands for it; null if empty)."""
-    sketches = cut(sketch(docs))
-    found = links(docs, sketches, task_elements)
+    sketches = cut(sketch(docs, percent))
+    found = links(docs, sketches, task_elements, percent)
     nodes = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).withColumn("component", F.col("node"))
     if found is not None:
         rooted = cut(components(found))
@@ -348,13 +362,13 @@ def key_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("null"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id.
 
     Rows without words stay.  Of rows that repeat an id and a text one stays.
     """
     wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    found = near_duplicates(docs).filter("component is not null and kept")
+    found = near_duplicates(docs, percent=percent).filter("component is not null and kept")
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(key_of("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
     rows = docs.filter(~wordless).withColumn("__id", key_of("doc_id")).withColumn("__digest", F.xxhash64("text"))
     # the join's partitioning serves to drop repeats, so texts are shuffled once

@@ -90,6 +90,30 @@ def test_quality_verdicts(spark, words):
 
 
 # --- near duplicates
+def test_near_dedup_stage(spark):
+    """The stage links at 0.8, op5 at 0.85: copies at 0.80 to 0.85 go, those below 0.8 stay."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = []
+    for g in range(8):
+        base = [f"w{g}x{rng.randrange(10**6)}" for _ in range(304)]
+        changed = (5, 6) if g % 2 else (7, 8)
+        for at in (0, *changed):
+            w = list(base)
+            for k in range(at):
+                w[20 + 30 * k] = f"new{at}"
+            texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(300)} for t in texts]
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.80 <= similar(3, 3 + k) < 0.85 for k in (1, 2)) and all(similar(0, k) < 0.80 for k in (1, 2))
+    df = table(spark, list(enumerate(texts)))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert {i for i in range(len(texts)) if i // 3 % 2} & kept == {i for i in range(len(texts)) if i // 3 % 2 and i % 3 == 0}
+    assert {0, 1} <= kept and neardup.bands_for(85) == 20 and (1 - 0.8**4) ** neardup.bands_for(80) <= neardup.MISS
+    assert neardup.near_duplicates(df).filter("doc_id in (4, 5) and kept").count() >= 1
+
+
 def brute_components(texts):
     sets = []
     for _, t in texts:
