@@ -1,14 +1,18 @@
 """Main text of web pages, with site templates removed.
 
-Every element subtree of a page is hashed; Spark counts, for each host, on how many pages a subtree
-recurs; subtrees on most pages of a host are that site's template and are deleted.  What is left is
+Every element subtree of a page is hashed; Spark counts, for each host, on how many different pages a
+subtree recurs; pages are different if their texts are, so copied articles count once.  Blocks on
+``MANY`` different pages of a host, or on most, are that site's template and are deleted; inline
+elements, cells and items can belong to any sentence or table and must be on most.  What is left is
 read from the page's article (or main, or body) without the elements that are never main text.
 
 Defined cases: null html counts as empty and gives an empty text; a null or relative url belongs to a
-host of its own, "", like every other; hosts with fewer than ``MIN_PAGES`` pages have no template;
-unclosed and stray tags are tolerated; repeated rows count as pages of their own; other columns are
-ignored.  Plain blocks (without class, id or role) of a marked article are its text and are never
-template, however often the article is copied.
+host of its own, "", like every other; hosts with fewer than ``MIN_PAGES`` different pages have no
+template; unclosed and stray tags are tolerated; repeated rows are one page; other columns are ignored.
+Plain blocks (without class, id or role) of a marked article may be the text of near copies: they are
+template only if at least half of the different pages they are on also differ in the least hash of
+their five-word shingles.  So plain boilerplate that outweighs the articles around it stays, and so do
+plain inline elements, cells and items.
 """
 
 from __future__ import annotations
@@ -16,17 +20,19 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm import neardup
 from quillon.llm.common import cut, map_batches, slices
 
-#: A subtree is template if it stands on this share of a host's pages, and the host has so many pages.
+#: A subtree is template if it stands on this share of a host's different pages, and the host has so many.
 TEMPLATE_SHARE, MIN_PAGES = 0.6, 8
+#: A block is also template if it stands on so many different pages of a host.
+MANY = 20
 #: Template hashes that may be held by every task; above it, pages and templates are joined by host.
 MAX_BROADCAST_HASHES = 200_000
 
@@ -34,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe".split())
 NEVER = frozenset("head nav header footer aside form script style noscript template iframe svg math canvas object button select textarea input label fieldset dialog menu title audio video".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Blocks that are parts of a list or table.
+ITEMS = frozenset("li dt dd tr td th tbody thead tfoot caption summary".split())
 #: Words in a class or id, and roles, that mark what is not main text.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus "
@@ -123,19 +131,28 @@ def unwanted(node: Node) -> bool:
     return any(part.lower() in MARKS for key in ("class", "id") for part in _PARTS.split(a.get(key, "")) if part)
 
 
-def subtree_hash(html: str, node: Node) -> int:
-    """Signed 64-bit digest of the element's source."""
-    return int.from_bytes(hashlib.blake2b(html[node.start : node.end].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def digest(text: str, kind: bytes = b"") -> int:
+    """Signed 64-bit digest."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, person=kind).digest(), "little", signed=True)
+
+
+def subtree_hash(html: str, node: Node, plain: bool = False) -> int:
+    """Digest of the element's source; plain blocks of a marked article have digests of their own."""
+    return digest(html[node.start : node.end], b"plain" if plain else b"")
+
+
+def whole_block(node: Node) -> bool:
+    return node.tag in BLOCKS and node.tag not in ITEMS
 
 
 def elements(node: Node, inside: bool = False):
-    """Elements that can be template: all but the page's frame and the plain blocks of a marked article."""
+    """(element, plain) that can be template: all but the page's frame, void elements and plain parts of an article's blocks."""
     for child in node.children:
         if isinstance(child, Node):
             frame = child.tag in ("html", "body", "article", "main")
             plain = inside and not ({"class", "id", "role"} & attributes(child).keys())
-            if not frame and not plain and child.end > child.start:
-                yield child
+            if not frame and child.end > child.start and child.tag not in VOID and (not plain or whole_block(child)):
+                yield child, plain
             yield from elements(child, (inside or child.tag in ("article", "main")) and (frame or plain))
 
 
@@ -168,8 +185,10 @@ def _roots(node: Node) -> list[Node]:
 
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     """Blocks of the main text, joined by one newline."""
-    if not html:
-        return ""
+    return _text_of(html, parse(html), template) if html else ""
+
+
+def _text_of(html: str, tree: Node, template: frozenset[int] = frozenset()) -> str:
     blocks: list[str] = []
     now: list[str] = []
 
@@ -189,7 +208,7 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
                 now.append(" ")
                 continue
             still = plain and not ({"class", "id", "role"} & attributes(child).keys())
-            if template and not (inside and still) and child.tag not in ("html", "body", "article", "main") and subtree_hash(html, child) in template:
+            if template and child.tag not in ("html", "body", "article", "main") and subtree_hash(html, child, inside and still) in template:
                 if block:
                     flush()
                 continue
@@ -201,35 +220,43 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
             if block:
                 flush()
 
-    for root in _roots(parse(html)):
+    for root in _roots(tree):
         walk(root, root.tag in ("article", "main"), True)
         flush()
     return "\n".join(blocks)
 
 
-def template_hashes(pages: DataFrame, share: float = TEMPLATE_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, hashes): the subtrees that stand on at least ``share`` of the host's pages.
+def template_hashes(pages: DataFrame, share: float = TEMPLATE_SHARE, min_pages: int = MIN_PAGES, many: int = MANY) -> DataFrame:
+    """(host, hashes): the subtrees that stand on at least ``share`` of the host's different pages, or blocks on ``many``.
 
-    Pages are counted in each batch first, so what is shuffled is one row for each batch, host and subtree.
+    A different page is a text (``body``); ``least`` is the least hash of its shingles.  A null hash stands for the page.
     """
 
     def make() -> Callable:
         def one(batch: pa.RecordBatch):
-            count: Counter = Counter()
-            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host = host_of(url)
-                count[host, None] += 1
-                if html:
-                    count.update({(host, subtree_hash(html, x)) for x in elements(parse(html))})
-            yield {"host": [k[0] for k in count], "hash": [k[1] for k in count], "pages": list(count.values())}
+            for part in slices(batch, "html"):
+                urls, sources = (part.column(c).to_pylist() for c in ("url", "html"))
+                trees = [parse(h or "") for h in sources]
+                texts = [_text_of(h or "", t) for h, t in zip(sources, trees, strict=True)]
+                found: set[tuple] = set()
+                sets = neardup.shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts])
+                for url, h, tree, text, shingles in zip(urls, sources, trees, texts, sets, strict=True):
+                    host, body, least = host_of(url), digest(text), int(shingles[0]) if len(shingles) else 0
+                    found.add((host, None, body, least, False, False))
+                    found.update((host, subtree_hash(h, x, plain), body, least, plain, whole_block(x)) for x, plain in elements(tree))
+                yield dict(zip(("host", "hash", "body", "least", "plain", "block"), map(list, zip(*found, strict=True)), strict=True))
 
         return one
 
-    counts = map_batches(pages.select("url", "html"), make, "host string, hash bigint, pages bigint").groupBy("host", "hash").agg(F.sum("pages").alias("pages"))
+    seen = map_batches(pages.select("url", "html"), make, "host string, hash bigint, body bigint, least bigint, plain boolean, block boolean")
+    # one row for each subtree and different page, so that no task gets all pages of a host
+    each = seen.groupBy("host", "hash", "body").agg(F.min("least").alias("least"), F.max("plain").alias("plain"), F.max("block").alias("block"))
+    counts = each.groupBy("host", "hash").agg(F.count("*").alias("pages"), F.countDistinct("least").alias("apart"), F.max("plain").alias("plain"), F.max("block").alias("block"))
     # subtrees found once are most of them and never template; the null hash counts a host's pages
-    counts = counts.filter((F.col("pages") > 1) | F.col("hash").isNull())
+    counts = cut(counts.filter((F.col("pages") > 1) | F.col("hash").isNull()))
     hosts = counts.filter("hash is null").select("host", F.col("pages").alias("all_pages")).filter(F.col("all_pages") >= min_pages)
-    often = counts.filter("hash is not null").join(hosts, "host").filter(F.col("pages") >= F.col("all_pages") * share)
+    enough = (F.col("pages") >= F.col("all_pages") * share) | (F.col("block") & (F.col("pages") >= many))
+    often = counts.filter("hash is not null").join(hosts, "host").filter(enough).filter(~F.col("plain") | (2 * F.col("apart") >= F.col("pages")))
     return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 

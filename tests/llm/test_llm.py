@@ -245,6 +245,30 @@ def test_main_text(spark):
     assert all(got[k] == f"Own text {k}" for k in range(12)) and got[99] == "" and got[98] == "Site line\nOwn text 1"
 
 
+def test_main_text_recurring(spark, words):
+    """Blocks on many different pages go, classed or not, also below 60 %; texts of copied and near-copied articles stay."""
+    rng = random.Random(4)
+    body = lambda n: [rng.choice(words) for _ in range(n)]
+    page = "<body><article><p>{}</p><p>{}</p></article></body>"
+    rows, own = [], {}
+    for k in range(100):
+        a, b = " ".join(body(60)), " ".join(body(40))
+        html = page.format(a, b + " <b>and</b> so<br>on")
+        if k < 50:
+            html = html.replace("</article>", "<p>Join our <i>letter</i> today</p><div class='x'>Rotating line</div></article>")
+        rows.append((k, f"http://h.example/{k}", html, ""))
+        own[k] = f"{a}\n{b} and so on"
+    first, last = body(60), " ".join(body(60))
+    for k in range(100, 140):
+        a = list(first)
+        if k >= 110:
+            a[rng.randrange(60)] = f"changed{k}"
+        rows.append((k, f"http://h.example/{k}", page.format(" ".join(a), last), ""))
+        own[k] = " ".join(a) + "\n" + last
+    got = {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()}
+    assert got == own
+
+
 # --- mixing
 def test_mix(spark, words):
     rng = random.Random(7)
