@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.regex import WS_UNICODE, quote
@@ -37,9 +38,29 @@ def add(tokens: list[AddedToken], have: dict[str, int], size: int) -> tuple[dict
     return out, n
 
 
-def extract(c: Column, tokens: list[AddedToken]) -> Column:
-    """Array of (piece, hit): added tokens with what they take of the space around them, and the text between."""
-    ordered = sorted((t for t in tokens if t.content), key=lambda t: (-len(t.content), t.content))
-    if not ordered:
-        return F.filter(F.array(F.struct(c.alias("piece"), F.lit(False).alias("hit"))), lambda p: p["piece"] != "")
-    return matches(c, "|".join(t.pattern() for t in ordered))
+def _pattern(tokens: list[AddedToken]) -> str:
+    return "|".join(t.pattern() for t in sorted((t for t in tokens if t.content), key=lambda t: (-len(t.content), t.content)))
+
+
+def _whole(c: Column) -> Column:
+    return F.filter(F.array(F.struct(c.alias("piece"), F.lit(False).alias("hit"))), lambda p: p["piece"] != "")
+
+
+def _normalized(tokens: list[AddedToken], normalizer: Callable[[Column], Column]) -> list[AddedToken]:
+    row = SparkSession.active().range(1).select(*[normalizer(F.lit(t.content)) for t in tokens]).head() if tokens else ()
+    return [replace(t, content=text or "") for t, text in zip(tokens, row, strict=True)]
+
+
+def extract(c: Column, tokens: list[AddedToken], normalizer: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (piece, hit): added tokens with what they take of the space around them, and the text between.
+
+    Tokens with ``normalized`` unset are found in the text as it is; then the text between is
+    normalised, and the other tokens, normalised too, are found in it.
+    """
+    second = [t for t in tokens if t.normalized]
+    raw, normal = _pattern([t for t in tokens if not t.normalized]), _pattern(_normalized(second, normalizer) if normalizer else second)
+    change = normalizer or (lambda x: x)
+    again = lambda x: matches(change(x), normal) if normal else _whole(change(x))
+    if not raw:
+        return again(c)
+    return F.flatten(F.transform(matches(c, raw), lambda p: F.when(p["hit"], F.array(p)).otherwise(again(p["piece"]))))

@@ -433,6 +433,8 @@ piece_query("added_extract", lambda c: F.transform(added.extract(c, _ADDED), lam
 piece_query("added_hits", lambda c: F.transform(F.filter(added.extract(c, _ADDED), lambda p: p["hit"]), lambda p: p["piece"]), all_of("License|thth|the"))
 piece_query("added_single_word", lambda c: F.transform(F.filter(added.extract(c, [added.AddedToken("the", single_word=True)]), lambda p: p["hit"]), lambda p: p["piece"]), None)
 piece_query("added_strip_flags", lambda c: F.transform(F.filter(added.extract(c, [added.AddedToken("of", lstrip=True, rstrip=True)]), lambda p: p["hit"]), lambda p: p["piece"]), all_of(f"[{WS_UNICODE}]*of[{WS_UNICODE}]*"))
+_TWICE = [added.AddedToken("The"), added.AddedToken("License", normalized=False)]
+piece_query("added_normalized", lambda c: F.transform(added.extract(c, _TWICE, normalize.lowercase()), lambda p: p["piece"]), None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -159,6 +159,13 @@ def test_added_tokens(spark):
     assert added.add([*tokens, tokens[0], added.AddedToken("")], {}, 10) == ({"[CLS]": 10, "[SEP]": 11}, 2)
 
 
+def test_added_tokens_normalized(spark):
+    """Normalised tokens are found in normalised text, the others in the text as it is."""
+    tokens = [added.AddedToken("The"), added.AddedToken("[X]", normalized=False)]
+    got = one(spark, "THE a [X] the[x]", lambda c: added.extract(c, tokens, normalize.lowercase()))
+    assert [tuple(x) for x in got] == [("the", True), (" a ", False), ("[X]", True), (" ", False), ("the", True), ("[x]", False)]
+
+
 def test_vocabularies(spark):
     a, b = Vocab(tokens=("x", "y", "z")), Vocab(tokens=("y", "w", "w"))
     assert a.union(b).tokens == ("x", "y", "z", "w") and a.intersect(b).tokens == ("y",) and a.trim(b).tokens == ("x", "z")
