@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,18 +27,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder.
+    """Materialise ``df`` in the shared checkpoint folder, the one that ``spark.checkpoint.dir`` names.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary folder is set
-    only where that setting is absent (single-machine tests).
+    Without that setting a temporary folder serves a single machine; on a cluster its files would be
+    on the driver alone, so that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillon-checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bytes and rows of an Arrow batch; larger settings of the session are lowered to these.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what the JVM and Python hold of an Arrow stream at a time, whatever the texts' lengths."""
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        now = re.match(r"-?\d+", str(spark.conf.get(f"spark.sql.execution.arrow.{key}")))
+        if now is None or not 0 < int(now[0]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
@@ -54,6 +79,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     """
 
     want = arrow_schema(ddl)
+    bounded_batches(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
@@ -79,6 +105,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) ->
         yield batch.slice(start)
 
 
+def lists(parts: list[np.ndarray | None]) -> pa.Array:
+    """A column of lists of 64-bit integers from arrays, without making Python numbers."""
+    lengths = [0 if x is None else len(x) for x in parts]
+    values = np.concatenate([np.zeros(0, np.int64), *(x for x in parts if x is not None)]).astype(np.int64, copy=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    missing = pa.array([x is None for x in parts]) if any(x is None for x in parts) else None
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=missing)
+
+
 def crc_fold(doc_id: Column | str = "doc_id", folds: int = 4) -> Column:
     """crc32 of the id written as text, modulo ``folds`` (null id: the crc of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

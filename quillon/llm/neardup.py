@@ -13,7 +13,8 @@ treating each part in the same way.  Parts never hold the hubs above them, so th
 Defined cases: null text, or text without words, has an empty set, links with nothing and is its own
 component; with fewer than five words the whole sequence is one shingle; repeated rows are copies of
 each other; a component's id is its smallest non-null doc_id, and null if all its ids are null; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored, whatever their names; ties (equal sizes) go to
+the smallest node digest; a very long text is one row whose set is held whole by one task.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillon.llm.common import cut, map_batches, slices
+from quillon.llm.common import bounded_batches, cut, fresh, lists, map_batches, slices
 
 SHINGLE = 5
 #: Link if 100 * intersection >= percent * union, by default this percent.
@@ -125,7 +126,7 @@ def sketch(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     "digest": part.column("digest"),
                     "n_shingles": [len(s) for s in sets],
                     "node": [_digest(s) if len(s) else None for s in sets],
-                    "bands": [band_keys(s, bands).tolist() if len(s) else None for s in sets],
+                    "bands": lists([band_keys(s, bands) if len(s) else None for s in sets]),
                 }
 
         return one
@@ -145,7 +146,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         def one(batch: pa.RecordBatch):
             for part in slices(batch):
                 sets = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()])
-                yield {"node": [_digest(s) for s in sets], "shingles": [s.tolist() for s in sets]}
+                yield {"node": [_digest(s) for s in sets], "shingles": lists(sets)}
 
         return one
 
@@ -165,26 +166,12 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     a linked partner in the part shares.
     """
     hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    both = pairs.join(sets, "node").join(hubs, "hub")
+    both = spread_join(pairs.join(sets, "node"), pairs, hubs, "hub")
 
     def make() -> Callable:
         def one(batch: pa.RecordBatch):
-            own, hub = batch.column("shingles"), batch.column("hub_shingles")
-            a_off, b_off = own.offsets.to_numpy(), hub.offsets.to_numpy()
-            a_all, b_all = own.values.to_numpy(), hub.values.to_numpy()
-            out = {c: [] for c in ("n", "hub_n", "linked", "extra", "missing", "need")}
-            for i in range(batch.num_rows):
-                w, h = a_all[a_off[i] : a_off[i + 1]], b_all[b_off[i] : b_off[i + 1]]
-                at = np.searchsorted(h, w)
-                at[at == len(h)] = 0
-                same = h[at] == w
-                shared = int(same.sum())
-                absent = np.ones(len(h), bool)
-                absent[at[same]] = False
-                least = max(1, needed(len(w), max(len(h), -(-percent * len(w) // 100)), percent) - shared)
-                for name, value in zip(out, (len(w), len(h), 100 * shared >= percent * (len(w) + len(h) - shared), w[~same].tolist(), h[absent].tolist(), len(w) - shared - least + 1), strict=True):
-                    out[name].append(value)
-            yield {c: batch.column(c) for c in ("part", "hub", "node")} | out
+            for low in range(0, batch.num_rows, COMPARED_ROWS):
+                yield _compared(batch.slice(low, COMPARED_ROWS), percent)
 
         return one
 
@@ -192,25 +179,76 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return map_batches(both.select("part", "hub", "node", "shingles", "hub_shingles"), make, ddl)
 
 
+#: Rows whose differences a task holds at a time.
+COMPARED_ROWS = 256
+
+
+def rows_of(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as views of its values."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _compared(batch: pa.RecordBatch, percent: int) -> dict:
+    out: dict[str, list] = {c: [] for c in ("n", "hub_n", "linked", "extra", "missing", "need")}
+    for w, h in zip(rows_of(batch.column("shingles")), rows_of(batch.column("hub_shingles")), strict=True):
+        at = np.searchsorted(h, w)
+        at[at == len(h)] = 0
+        same = h[at] == w
+        shared = int(same.sum())
+        absent = np.ones(len(h), bool)
+        absent[at[same]] = False
+        least = max(1, needed(len(w), max(len(h), -(-percent * len(w) // 100)), percent) - shared)
+        row = (len(w), len(h), 100 * shared >= percent * (len(w) + len(h) - shared), w[~same], h[absent], len(w) - shared - least + 1)
+        for name, value in zip(out, row, strict=True):
+            out[name].append(value)
+    return {c: batch.column(c) for c in ("part", "hub", "node")} | out | {"extra": lists(out["extra"]), "missing": lists(out["missing"])}
+
+
+#: A key is hot if it has more than this share of the rows; its rows are dealt to so many places.
+HOT_SHARE, PLACES = 500, 32
+
+
+def spread_join(left: DataFrame, keys: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``key``; rows of hot keys are dealt to several tasks.
+
+    ``keys`` (materialised) holds the keys of ``left``'s rows.  At most HOT_SHARE keys are hot, so the
+    list that is broadcast is bounded.
+    """
+    total = keys.count()
+    hot = keys.groupBy(key).count().filter(F.col("count") > max(1000, total // HOT_SHARE)).select(F.col(key).alias("hot_key"))
+    hot = F.broadcast(cut(hot))
+    place = F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64("node"), F.lit(PLACES))).otherwise(0).cast("int")
+    places = F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.join(hot, left[key] == F.col("hot_key"), "left").withColumn("place", place).drop("hot_key")
+    spread = right.join(hot, right[key] == F.col("hot_key"), "left").withColumn("place", F.explode(places)).drop("hot_key")
+    return dealt.join(spread, [key, "place"])
+
+
 def settle(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) inside whole parts of bounded size: enough of them to connect all that are linked.
 
     The rows of a part are streamed to one task, which holds one part at a time and needs only what
     each member has outside the hub and lacks of it.
     """
+    bounded_batches(rows.sparkSession)
     ordered = rows.repartition("part").sortWithinPartitions("part", "node")
     columns = ("part", "node", "n", "hub_n", "linked", "extra", "missing")
     want = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def task(batches):
-        held, now = [], None
+        held: list[tuple] = []
+        now = None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if row[0] != now:
-                    if held:
-                        yield pa.RecordBatch.from_pylist(_links_of(held, percent), schema=want)
-                    held, now = [], row[0]
-                held.append(row[1:])
+            plain = [batch.column(c).to_pylist() for c in columns[:5]]
+            part = plain[0]
+            for row in zip(*plain, *(rows_of(batch.column(c)) for c in columns[5:]), strict=True):
+                if row[0] != now and held:
+                    yield pa.RecordBatch.from_pylist(_links_of(held, percent), schema=want)
+                    held = []
+                now = row[0]
+                # views of a batch are copied, as a part may go on in the next one
+                held.append(row[1:] if part[-1] != now else (*row[1:5], row[5].copy(), row[6].copy()))
         if held:
             yield pa.RecordBatch.from_pylist(_links_of(held, percent), schema=want)
 
@@ -257,9 +295,9 @@ def _links_of(members: list[tuple], percent: int) -> list[dict]:
 class _Postings:
     """Which of several sets hold each element that at least two of them hold."""
 
-    def __init__(self, sets: tuple[list[int], ...]) -> None:
+    def __init__(self, sets: tuple[np.ndarray, ...]) -> None:
         owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        values = np.fromiter((v for x in sets for v in x), np.int64, len(owner))
+        values = np.concatenate([np.zeros(0, np.int64), *sets])
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
         starts = np.flatnonzero(np.diff(values, prepend=values[:1] - 1)) if len(values) else np.zeros(0, np.int64)
@@ -346,13 +384,22 @@ def near_duplicates(docs: DataFrame, task_elements: int = TASK_ELEMENTS, percent
     """doc_id, n_shingles, component_id, kept for each row, and component (a node that stands for it; null if empty)."""
     sketches = cut(sketch(docs, percent))
     found = links(docs, sketches, task_elements, percent)
-    nodes = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).withColumn("component", F.col("node"))
+    nodes = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("component", F.col("node"))
     if found is not None:
         rooted = cut(components(found))
         by_root = rooted.join(nodes, "node").groupBy("root").agg(F.min("least").alias("low"))
         nodes = nodes.join(rooted.join(by_root, "root").select("node", "root", "low"), "node", "left")
-        nodes = nodes.select("node", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("low")).alias("least"), F.coalesce("root", "node").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "digest", "node").join(nodes, "node", "left")
+        nodes = nodes.select("node", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("low")).alias("least"), "copies", F.coalesce("root", "node").alias("component"))
+    # rows without a set, and those of the at most HOT_SHARE sets with very many copies, are not shuffled
+    many = max(1000, sketches.count() // HOT_SHARE)
+    nodes = cut(nodes)
+    rows = sketches.select("doc_id", "n_shingles", "digest", "node")
+    hot = F.broadcast(nodes.filter(F.col("copies") > many).select(F.col("node").alias("hot_node"), F.col("least").alias("hot_least"), F.col("component").alias("hot_component")))
+    rows = rows.join(hot, F.col("node") == F.col("hot_node"), "left")
+    apart = F.col("node").isNull() | F.col("hot_node").isNotNull()
+    done = rows.filter(apart).select("doc_id", "n_shingles", "digest", "node", F.col("hot_least").alias("least"), F.col("hot_component").alias("component"))
+    rest = rows.filter(~apart).select("doc_id", "n_shingles", "digest", "node").join(nodes.select("node", "least", "component"), "node", "left")
+    out = done.unionByName(rest)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "component", "digest")
 
@@ -370,7 +417,9 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     found = near_duplicates(docs, percent=percent).filter("component is not null and kept")
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(key_of("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
-    rows = docs.filter(~wordless).withColumn("__id", key_of("doc_id")).withColumn("__digest", F.xxhash64("text"))
+    mark_id, mark_digest = fresh(docs, "__id"), fresh(docs, "__digest")
+    first = first.withColumnsRenamed({"__id": mark_id, "__digest": mark_digest})
+    rows = docs.filter(~wordless).withColumn(mark_id, key_of("doc_id")).withColumn(mark_digest, F.xxhash64("text"))
     # the join's partitioning serves to drop repeats, so texts are shuffled once
-    rows = rows.join(first, ["__id", "__digest"], "left_semi")
-    return rows.dropDuplicates(["__id", "__digest"]).select(*docs.columns).unionByName(docs.filter(wordless))
+    rows = rows.join(first, [mark_id, mark_digest], "left_semi")
+    return rows.dropDuplicates([mark_id, mark_digest]).select(*docs.columns).unionByName(docs.filter(wordless))
