@@ -9,10 +9,11 @@ read from the page's article (or main, or body) without the elements that are ne
 Defined cases: null html counts as empty and gives an empty text; a null or relative url belongs to a
 host of its own, "", like every other; hosts with fewer than ``MIN_PAGES`` different pages have no
 template; unclosed and stray tags are tolerated; repeated rows are one page; other columns are ignored.
-Plain blocks (without class, id or role) of a marked article may be the text of near copies: they are
-template only if at least half of the different pages they are on also differ in the least hash of
-their five-word shingles.  So plain boilerplate that outweighs the articles around it stays, and so do
-plain inline elements, cells and items.
+Plain blocks (without class, id or role) of an article may be the text of near copies: they are
+template only if at least half of the different pages they are on also differ in the least hash of the
+five-word shingles of what stands around them.  Plain inline elements, cells and items of an article
+stay.  An empty table gives no rows; a block on exactly ``MANY`` pages is template; a page of any
+length, depth or brokenness takes time in proportion to its length, and is held whole by one task.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +37,7 @@ TEMPLATE_SHARE, MIN_PAGES = 0.6, 8
 #: A block is also template if it stands on so many different pages of a host.
 MANY = 20
 #: Template hashes that may be held by every task; above it, pages and templates are joined by host.
-MAX_BROADCAST_HASHES = 200_000
+MAX_BROADCAST_HASHES, PLACES = 200_000, 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -54,69 +57,167 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 BARRIER = frozenset("article aside blockquote body div dl footer form header html main nav ol section table td th ul".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|\Z)""", re.I)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+#: A whole tag whose quotes are all closed; nothing is tried twice.
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=(?!\s*+["'])|["'])*+)>""")
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+_IN_TAG = re.compile(r"""[^>"'=]*""")
+_BLANKS = re.compile(r"\s*")
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_READ = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "start", "end", "children")
+    """An element: ``attrs`` is the source between its name and the end of its tag, ``hash`` that of the whole subtree."""
+
+    __slots__ = ("tag", "attrs", "start", "end", "children", "hash")
 
     def __init__(self, tag: str, attrs: str, start: int) -> None:
-        self.tag, self.attrs, self.start, self.end, self.children = tag, attrs, start, start, []
+        self.tag, self.attrs, self.start, self.end, self.children, self.hash = tag, attrs, start, start, [], 0
+
+    def seal(self, end: int, hashed: bool) -> None:
+        """The subtree is complete: its hash is made of its tag, its strings and its children's hashes."""
+        self.end = end
+        if not hashed:
+            return
+        h = hashlib.blake2b(f"{self.tag}\0{self.attrs}".encode("utf-8", "surrogatepass"), digest_size=8)
+        for c in self.children:
+            h.update(b"\1" + c.hash.to_bytes(8, "little", signed=True) if isinstance(c, Node) else b"\2" + c.encode("utf-8", "surrogatepass"))
+        self.hash = int.from_bytes(h.digest(), "little", signed=True)
 
 
-def parse(html: str) -> Node:
-    """The page as a tree of elements and strings; comments and declarations are left out."""
+class Tags:
+    """The tags of a page in one pass: (start, end, closing, name, attributes); text lies between them.
+
+    A quote opens a value only after an equals sign; a quote that is never closed is a character like
+    others, and so is a tag's beginning if no tag ends after it.  What is found missing once is not
+    looked for again, so the time is linear in the page.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html, self.lacks = html, set()
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self.lacks:
+            return -1
+        k = self.html.find(what, at)
+        if k < 0:
+            self.lacks.add(what)
+        return k
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends at ``at``."""
+        html, n = self.html, len(self.html)
+        while True:
+            at = _IN_TAG.match(html, at).end()
+            if at >= n:
+                return -1
+            c = html[at]
+            if c == ">":
+                return at
+            at += 1
+            if c == "=":
+                at = _BLANKS.match(html, at).end()
+                if at < n and html[at] in "\"'":
+                    close = self._find(html[at], at + 1)
+                    at = close + 1 if close >= 0 else at + 1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The first tag from ``at`` on; comments and declarations have no name."""
+        html, n = self.html, len(self.html)
+        while (at := html.find("<", at)) >= 0:
+            if not self.lacks and (m := _TAG.match(html, at)):
+                return at, m.end(), m[1] == "/", m[2].lower(), m[3]
+            after = html[at + 1 : at + 2]
+            if after in ("!", "?") and after:
+                comment = html.startswith("<!--", at)
+                end = self._find("-->" if comment else ">", at + (4 if comment else 1))
+                return at, n if end < 0 else end + (3 if comment else 1), False, "", ""
+            name = _NAME.match(html, at + 1 + (after == "/"))
+            if name and ">" not in self.lacks:
+                end = self._end(name.end())
+                if end >= 0:
+                    return at, end + 1, after == "/", name[0].lower(), html[name.end() : end]
+                self.lacks.add(">")
+            at += 1
+        return None
+
+
+def parse(html: str, hashed: bool = True) -> Node:
+    """The page as a tree of elements and strings, ``hashed`` or not; comments and declarations are left out.
+
+    Where the open elements of each name are is kept beside the stack, so that a closing tag costs
+    no more than the elements it closes.
+    """
     root = Node("", "", 0)
-    stack, at, n = [root], 0, len(html)
+    stack, barriers, open_at, tags, at, n = [root], [0], {}, Tags(html), 0, len(html)
 
     def close(depth: int, end: int) -> None:
         while len(stack) > depth:
-            stack.pop().end = end
+            node = stack.pop()
+            node.seal(end, hashed)
+            open_at[node.tag].pop()
+            if barriers[-1] == len(stack):
+                barriers.pop()
 
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        found = tags.next(at)
+        if found is None:
             stack[-1].children.append(html[at:])
             break
-        if m.start() > at:
-            stack[-1].children.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        start, end, closing, tag, attrs = found
+        if start > at:
+            stack[-1].children.append(html[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth + 1, m.start())
-                    stack.pop().end = at
-                    break
+        if closing:
+            if open_at.get(tag):
+                close((depth := open_at[tag][-1]) + 1, start)
+                close(depth, at)
             continue
-        ends = CLOSES.get(tag, ()) if tag not in CLOSES_P else {"p"}
-        if ends:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in ends:
-                    close(depth, m.start())
-                    break
-                if stack[depth].tag in BARRIER:
-                    break
-        node = Node(tag, m[3], m.start())
+        ends = ("p",) if tag in CLOSES_P else CLOSES.get(tag, ())
+        deepest = max((open_at[t][-1] for t in ends if open_at.get(t)), default=0)
+        if deepest and deepest >= barriers[-1]:
+            close(deepest, start)
+        node = Node(tag, attrs, start)
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/"):
-            node.end = at
+        if tag in VOID or attrs.endswith("/"):
+            node.seal(at, hashed)
         elif tag in RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            node.children.append(html[at : stop.start() if stop else n])
-            at = node.end = stop.end() if stop else n
+            stop = _raw_end(html, tag, at, tags.lacks)
+            node.children.append(html[at : stop[0]])
+            at = stop[1]
+            node.seal(at, hashed)
         else:
+            open_at.setdefault(tag, []).append(len(stack))
+            if tag in BARRIER:
+                barriers.append(len(stack))
             stack.append(node)
-    close(0, n)
+    close(1, n)
+    root.seal(n, hashed)
     return root
 
 
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
+def _raw_end(html: str, tag: str, at: int, lacks: set[str]) -> tuple[int, int]:
+    """Bounds of the closing tag of an element whose content is not markup; the page's end if there is none."""
+    stop = None if f"</{tag}" in lacks else _RAW_END[tag].search(html, at)
+    if stop is None:
+        lacks.add(f"</{tag}")
+        return len(html), len(html)
+    return stop.start(), stop.end()
+
+
 def attributes(node: Node) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(node.attrs)} if node.attrs else {}
+    """The attributes that are looked at; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(node.attrs) if node.attrs else ():
+        if (name := m[1].lower()) in _READ:
+            out.setdefault(name, (m[2] or "").strip("\"'"))
+    return out
 
 
 def unwanted(node: Node) -> bool:
@@ -131,29 +232,38 @@ def unwanted(node: Node) -> bool:
     return any(part.lower() in MARKS for key in ("class", "id") for part in _PARTS.split(a.get(key, "")) if part)
 
 
-def digest(text: str, kind: bytes = b"") -> int:
+def digest(text: str) -> int:
     """Signed 64-bit digest."""
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, person=kind).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def subtree_hash(html: str, node: Node, plain: bool = False) -> int:
-    """Digest of the element's source; plain blocks of a marked article have digests of their own."""
-    return digest(html[node.start : node.end], b"plain" if plain else b"")
+def subtree_hash(node: Node, plain: bool = False) -> int:
+    """Digest of the subtree; plain blocks of a marked article have digests of their own."""
+    return node.hash ^ 0x5D7A3E1C9B24F068 if plain else node.hash
 
 
 def whole_block(node: Node) -> bool:
     return node.tag in BLOCKS and node.tag not in ITEMS
 
 
-def elements(node: Node, inside: bool = False):
+FRAME = ("html", "body", "article", "main")
+
+
+def marked(node: Node) -> bool:
+    return bool({"class", "id", "role"} & attributes(node).keys()) if node.attrs else False
+
+
+def elements(root: Node):
     """(element, plain) that can be template: all but the page's frame, void elements and plain parts of an article's blocks."""
-    for child in node.children:
-        if isinstance(child, Node):
-            frame = child.tag in ("html", "body", "article", "main")
-            plain = inside and not ({"class", "id", "role"} & attributes(child).keys())
-            if not frame and child.end > child.start and child.tag not in VOID and (not plain or whole_block(child)):
-                yield child, plain
-            yield from elements(child, (inside or child.tag in ("article", "main")) and (frame or plain))
+    todo = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        for child in node.children:
+            if isinstance(child, Node):
+                plain = inside and not marked(child)
+                if child.tag not in FRAME and child.end > child.start and child.tag not in VOID and (not plain or whole_block(child)):
+                    yield child, plain
+                todo.append((child, (inside or child.tag in ("article", "main")) and (child.tag in FRAME or plain)))
 
 
 #: The host of an absolute url; the same pattern serves Spark and Python.
@@ -165,85 +275,103 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _roots(node: Node) -> list[Node]:
-    """The outermost wanted articles, else mains, else the body, else the whole page."""
-    for names in (("article",), ("main",), ("body",)):
-        found: list[Node] = []
-        todo = [node]
-        while todo:
-            x = todo.pop()
-            for child in reversed(x.children):
-                if isinstance(child, Node):
-                    todo.append(child)
-            if x.tag in names and not unwanted(x):
-                found.append(x)
-        outer = [x for x in found if not any(y is not x and y.start <= x.start and x.end <= y.end for y in found)]
-        if outer:
-            return outer
-    return [node]
+def _roots(root: Node) -> list[Node]:
+    """The outermost wanted articles, else mains, else the body, else the whole page; those inside unwanted elements only if there are no others."""
+    for inside in (False, True):
+        for name in ("article", "main", "body"):
+            found: list[Node] = []
+            todo = [root]
+            while todo:
+                node = todo.pop()
+                bad = unwanted(node)
+                if node.tag == name and not bad:
+                    found.append(node)
+                elif inside or not bad:
+                    todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+            if found:
+                return found
+    return [root]
 
 
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     """Blocks of the main text, joined by one newline."""
-    return _text_of(html, parse(html), template) if html else ""
+    return "\n".join(text for _, text in blocks_of(parse(html, bool(template)), template)) if html else ""
 
 
-def _text_of(html: str, tree: Node, template: frozenset[int] = frozenset()) -> str:
-    blocks: list[str] = []
+def blocks_of(tree: Node, template: frozenset[int] = frozenset()) -> list[tuple[int, str]]:
+    """The blocks of main text, each with a place in the page inside its element."""
+    blocks: list[tuple[int, str]] = []
     now: list[str] = []
 
-    def flush() -> None:
+    def flush(at: int) -> None:
         text = " ".join(entities.unescape("".join(now)).split())
         if text:
-            blocks.append(text)
+            blocks.append((at, text))
         now.clear()
 
-    def walk(node: Node, inside: bool, plain: bool) -> None:
-        for child in node.children:
+    for root in _roots(tree):
+        inside = root.tag in ("article", "main")
+        # what is left to do, last first: a string, the end of a block, or an element in its surroundings
+        todo: list = [(c, root.start, inside, True) for c in reversed(root.children)]
+        while todo:
+            child, at, inside, plain = todo.pop()
             if isinstance(child, str):
                 now.append(child)
                 continue
+            if child is None:
+                flush(at)
+                continue
             block = child.tag in BLOCKS
+            still = plain and not marked(child)
+            if template and child.tag not in FRAME and subtree_hash(child, inside and still) in template:
+                if block:
+                    flush(at)
+                continue
             if unwanted(child):
                 now.append(" ")
                 continue
-            still = plain and not ({"class", "id", "role"} & attributes(child).keys())
-            if template and child.tag not in ("html", "body", "article", "main") and subtree_hash(html, child, inside and still) in template:
-                if block:
-                    flush()
-                continue
             if child.tag == "br":
                 now.append(" ")
             if block:
-                flush()
-            walk(child, inside or child.tag in ("article", "main"), still or child.tag in ("article", "main"))
-            if block:
-                flush()
+                flush(at)
+                todo.append((None, child.start, False, False))
+            frame = child.tag in ("article", "main")
+            place = child.start if block else at
+            todo += [(c, place, inside or frame, still or frame) for c in reversed(child.children)]
+        flush(root.start)
+    return blocks
 
-    for root in _roots(tree):
-        walk(root, root.tag in ("article", "main"), True)
-        flush()
-    return "\n".join(blocks)
+
+def rest_leasts(blocks: list[tuple[int, str]], leasts: list[int], nodes: list[Node]) -> list[int]:
+    """For each element the least shingle hash of the page's blocks outside it."""
+    top = (1 << 63) - 1
+    order = sorted(range(len(blocks)), key=lambda k: blocks[k][0])
+    at, low = [blocks[k][0] for k in order], [leasts[k] for k in order]
+    before, after = list(accumulate(low, min, initial=top)), list(accumulate(reversed(low), min, initial=top))[::-1]
+    return [min(before[bisect_left(at, x.start)], after[bisect_left(at, x.end)]) for x in nodes]
 
 
 def template_hashes(pages: DataFrame, share: float = TEMPLATE_SHARE, min_pages: int = MIN_PAGES, many: int = MANY) -> DataFrame:
     """(host, hashes): the subtrees that stand on at least ``share`` of the host's different pages, or blocks on ``many``.
 
-    A different page is a text (``body``); ``least`` is the least hash of its shingles.  A null hash stands for the page.
+    A different page is a text (``body``); ``least`` is the least hash of the shingles of the text
+    around the subtree.  A null hash stands for the page.
     """
 
     def make() -> Callable:
         def one(batch: pa.RecordBatch):
             for part in slices(batch, "html"):
-                urls, sources = (part.column(c).to_pylist() for c in ("url", "html"))
-                trees = [parse(h or "") for h in sources]
-                texts = [_text_of(h or "", t) for h, t in zip(sources, trees, strict=True)]
                 found: set[tuple] = set()
-                sets = neardup.shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts])
-                for url, h, tree, text, shingles in zip(urls, sources, trees, texts, sets, strict=True):
-                    host, body, least = host_of(url), digest(text), int(shingles[0]) if len(shingles) else 0
-                    found.add((host, None, body, least, False, False))
-                    found.update((host, subtree_hash(h, x, plain), body, least, plain, whole_block(x)) for x, plain in elements(tree))
+                trees = [parse(h or "") for h in part.column("html").to_pylist()]
+                pages_blocks = [blocks_of(t) for t in trees]
+                sets = neardup.shingle_sets([t.encode("utf-8", "surrogatepass") for blocks in pages_blocks for _, t in blocks])
+                leasts = iter([int(x[0]) if len(x) else 0 for x in sets])
+                for url, tree, blocks in zip(part.column("url").to_pylist(), trees, pages_blocks, strict=True):
+                    host, body, own = host_of(url), digest("\n".join(t for _, t in blocks)), [next(leasts) for _ in blocks]
+                    found.add((host, None, body, 0, False, False))
+                    each = list(elements(tree))
+                    rest = rest_leasts(blocks, own, [x for x, _ in each])
+                    found.update((host, subtree_hash(x, plain), body, least, plain, whole_block(x)) for (x, plain), least in zip(each, rest, strict=True))
                 yield dict(zip(("host", "hash", "body", "least", "plain", "block"), map(list, zip(*found, strict=True)), strict=True))
 
         return one
@@ -267,7 +395,11 @@ def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, min_pages: int = MI
     held = templates.agg(F.sum(F.size("hashes") + F.length("host") / 8 + 1)).head()[0] or 0
     host = F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    rows = rows.join(F.broadcast(templates) if held <= MAX_BROADCAST_HASHES else templates, "host", "left")
+    if held <= MAX_BROADCAST_HASHES:
+        rows = rows.join(F.broadcast(templates), "host", "left")
+    else:  # a host may hold a third of all pages, so its pages are dealt to several places
+        dealt = rows.withColumn("place", F.pmod(F.xxhash64("html"), F.lit(PLACES)).cast("int"))
+        rows = dealt.join(templates.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1)))), ["host", "place"], "left")
 
     def make() -> Callable:
         def one(batch: pa.RecordBatch):
