@@ -1,7 +1,9 @@
 """Corpus preparation: quality rules, near-dedup, decontamination, secret redaction, source mixing.
 
 Each stage is (name, function of spark, docs and the tables' folder).  All but the last return the
-columns that they were given; the last adds size, source_size, target and taken.  Quality rules drop
+columns that they were given, whatever their names; the last adds size, source_size, target and taken
+(with _ appended to a name that is taken).  Null texts have no words, so quality rules drop them; an empty
+table stays empty; repeated rows are one document to near-dedup.  Quality rules drop
 rejected rows, near-dedup keeps one row of each component, decontamination drops rows that hold a
 benchmark passage, the secret scan replaces secrets in the texts, and the mix keeps the rows it takes
 words of.
@@ -29,8 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter("size(leaks) = 0").select(*docs.columns)
+    return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

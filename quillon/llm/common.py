@@ -105,6 +105,24 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) ->
         yield batch.slice(start)
 
 
+def least_hash(rows: DataFrame, name: str, most: int) -> int | None:
+    """The greatest of the ``most`` smallest distinct values of a column of 64-bit hashes; None if there are no more.
+
+    Few candidates are sorted: those below a bound that about four times as many values should pass.
+    Only if repeats leave too few of them are all values sorted.
+    """
+    total = rows.count()
+    if total <= most:
+        return None
+    span = 1 << 64
+    bound = min(-(1 << 63) + span * 4 * most // total, (1 << 63) - 1)
+    for some in (rows.filter(F.col(name) <= F.lit(bound).cast("bigint")), rows):
+        found = [r[0] for r in some.select(name).distinct().orderBy(name).limit(most).collect()]
+        if len(found) == most:
+            return found[-1]
+    return None
+
+
 def lists(parts: list[np.ndarray | None]) -> pa.Array:
     """A column of lists of 64-bit integers from arrays, without making Python numbers."""
     lengths = [0 if x is None else len(x) for x in parts]

@@ -7,17 +7,20 @@ q-grams are counted in overlapping diagonal bands, regions that reach the bound
 alignment decides.
 
 The benchmark's q-grams are a table that every task holds; its size is checked, and a benchmark above
-the bound is worked through in blocks of items, each in one pass over the documents.
+the bound is worked through in blocks of items, each in one pass over the documents whose result is
+materialised, so that neither the driver nor a task holds more than one block.
 
 Defined cases: null or empty documents match nothing; null or empty items, and items of fewer than
-``q`` bytes, match nothing; repeated documents are rows of their own, repeated items match alike; an
-empty benchmark or an empty documents table leaves everything clean; other columns are kept as is.
+``q`` bytes, match nothing; repeated documents are rows of their own, repeated items match alike; ties
+of alignments go to the first place in the text; an empty benchmark or an empty documents table leaves
+everything clean; other columns are kept as they are, and a column that has the name of the added one is
+an error; a text of any length is searched whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import map_batches, slices
+from quillon.llm.common import cut, fresh, map_batches, slices
 
 Q = 10
 #: Edits allowed for each byte of a passage, and the shared q-grams that a region must have at least.
@@ -177,35 +180,43 @@ def search(index: Index, texts: list[bytes]) -> list[list[tuple]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, most: int) -> list[list[tuple]]:
-    """The benchmark in blocks of at most ``most`` bytes (or one item); its size is read before its texts are."""
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple]]:
+    """The benchmark in blocks of at most ``most`` bytes (or few items); the driver holds one at a time.
+
+    Items are dealt to blocks by hash, and dealt to twice as many while a block is too large.
+    """
+    size = F.octet_length("text")
     rows = benchmark.select("item_id", "text").filter("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    total = rows.agg(F.sum(size)).head()[0] or 0
     if not total:
-        return []
+        return
     if total <= most:
-        return [[(r[0], r[1]) for r in rows.collect()]]
-    blocks, now, held = [], [], 0
-    for r in rows.toLocalIterator():
-        n = len(r[1].encode("utf-8", "surrogatepass"))
-        if now and held + n > most:
-            blocks.append(now)
-            now, held = [], 0
-        now.append((r[0], r[1]))
-        held += n
-    return [*blocks, now]
+        yield [(r[0], r[1]) for r in rows.collect()]
+        return
+    n = -(-2 * total // most)
+    block = lambda n: F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    while rows.groupBy(block(n).alias("block")).agg(F.sum(size).alias("held"), F.count_distinct("text").alias("items")).filter((F.col("held") > most) & (F.col("items") > 4)).limit(1).count():
+        n *= 2
+    for k in range(n):
+        if items := [(r[0], r[1]) for r in rows.filter(block(n) == k).dropDuplicates().collect()]:
+            yield items
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
-    """The documents' columns and ``leaks``: array of (item_id, edits, start, end, item_start), empty if clean.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, max_index_bytes: int = MAX_INDEX_BYTES, column: str = "leaks") -> DataFrame:
+    """The documents' columns and ``column``: array of (item_id, edits, start, end, item_start), empty if clean.
 
     start and end are bytes of the normalised text, item_start of the normalised item.
     """
+    if column.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {column!r} already")
     kind = dict(benchmark.dtypes)["item_id"]
     entry = f"array<struct<item_id:{kind},edits:int,start:bigint,end:bigint,item_start:int>>"
-    out = docs.withColumn("leaks", F.expr(f"cast(array() as {entry})"))
+    out = docs.withColumn(column, F.expr(f"cast(array() as {entry})"))
+    ddl = ", ".join(f"`{c}` {t}" for c, t in out.dtypes)
+    before = None
     for items in _blocks(benchmark, max_index_bytes):
-        ddl = ", ".join(f"`{c}` {t}" for c, t in out.dtypes)
+        out = cut(out) if before is not None else out
+        before = items
 
         def make(items: list[tuple] = items) -> Callable:
             index = build_index(items)
@@ -213,14 +224,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_index_bytes: int = MAX
             def one(batch: pa.RecordBatch):
                 for part in slices(batch):
                     found = search(index, [normalise(t) for t in part.column("text").to_pylist()])
-                    before = part.column("leaks").to_pylist()
+                    known = part.column(column).to_pylist()
                     leaks = [
                         b + [{"item_id": index.items[p], "edits": e, "start": s, "end": z, "item_start": index.offsets[p]} for p, e, s, z in sorted(f, key=lambda x: (x[2], x[0]))]
-                        for b, f in zip(before, found, strict=True)
+                        for b, f in zip(known, found, strict=True)
                     ]
-                    yield {c: part.column(c) for c in part.schema.names} | {"leaks": leaks}
+                    yield {c: part.column(c) for c in part.schema.names} | {column: leaks}
 
             return one
 
         out = map_batches(out, make, ddl)
     return out
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold nothing of the benchmark, with all their columns."""
+    leaks = fresh(docs, "leaks")
+    return find_leaks(docs, benchmark, column=leaks).filter(F.size(leaks) == 0).select(*docs.columns)

@@ -4,16 +4,18 @@ The network reads a text in windows of ``SPAN`` bytes, one way and the other, an
 position with a probability for each language; a text's probabilities are the means over all of its
 positions.  Windows of many texts advance together, so memory is bounded by the batch, not the text.
 It is trained in numpy by backpropagation through time, on windows of a bounded sample of labelled
-rows (``TRAIN_DOCS`` rows, ``TRAIN_WINDOWS`` windows of each).
+rows (``TRAIN_WINDOWS`` windows of each of the ``TRAIN_DOCS`` rows with the smallest hashes, so that
+reruns learn from the same rows, which come from the whole table).
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows whose language is
 null are never learned from; if no row can be learned from, every text is ``und``; ties go to the
-language first in code-point order; repeated rows are judged alike; one output row for each input row.
+language first in code-point order; repeated rows are learned from once and judged alike; NUL characters count as spaces; a text of any
+length is judged whole; other columns are ignored, whatever their names; one output row for each input
+row, so an empty table gives none.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,14 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import crc_fold, map_batches, slices
+from quillon.llm.common import crc_fold, least_hash, map_batches, slices
 
 SPAN, HIDDEN = 96, 8
 TRAIN_DOCS, TRAIN_WINDOWS = 1600, 4
 STEPS, BATCH, RATE = 320, 192, 0.02
 HELD_OUT, FOLDS = 2, 4
 LANES = 4096
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter by its Unicode category; digits and fractions are not."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
+def bytes_of(text: str) -> bytes:
+    """UTF-8 without the byte that stands for padding."""
+    return text.encode("utf-8", "surrogatepass").replace(b"\0", b" ")
 
 
 @dataclass
@@ -152,8 +163,8 @@ def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], li
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     if net is None:
         return names, scores
-    chosen = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-    parts = [texts[i].encode("utf-8", "surrogatepass") for i in chosen]
+    chosen = [i for i, t in enumerate(texts) if has_letter(t)]
+    parts = [bytes_of(texts[i]) for i in chosen]
     counts = np.array([-(-len(p) // SPAN) for p in parts], np.int64)
     rows = int(counts.sum())
     if not rows:
@@ -175,18 +186,19 @@ def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], li
 
 def training_windows(docs: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[bytes, str]]:
     """Windows spread over the whole texts of at most ``most`` labelled rows outside the held-out fold, chosen by hash."""
-    rows = docs.select("doc_id", "text", "lang").filter((crc_fold() != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.count()
-    share = min(1.0, most / max(total, 1))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    rows = docs.select("text", "lang", F.xxhash64("doc_id", "text", F.lit("langid")).alias("hash"), crc_fold().alias("fold"))
+    rows = rows.filter((F.col("fold") != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    bound = least_hash(rows.select("hash"), "hash", most)
+    chosen = rows if bound is None else rows.filter(F.col("hash") <= bound)
+    chosen = chosen.dropDuplicates(["hash"])
 
     def make() -> Callable:
         def one(batch: pa.RecordBatch):
             windows, langs = [], []
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if not _LETTER.search(text):
+                if not has_letter(text):
                     continue
-                data = text.encode("utf-8", "surrogatepass")
+                data = bytes_of(text)
                 gap = max(len(data) - SPAN, 0)
                 for at in sorted({gap * k // max(TRAIN_WINDOWS - 1, 1) for k in range(TRAIN_WINDOWS)}):
                     windows.append(data[at : at + SPAN])
@@ -195,7 +207,7 @@ def training_windows(docs: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[byte
 
         return one
 
-    found = map_batches(chosen.select("text", "lang"), make, "part binary, lang string").limit(2 * most * TRAIN_WINDOWS)
+    found = map_batches(chosen.select("text", "lang"), make, "part binary, lang string")
     return sorted((bytes(r[0]), r[1]) for r in found.collect())
 
 

@@ -6,12 +6,15 @@ the golden ratio, made odd), which the cumulative weights map to a source; the s
 slots of its source names the block it takes, going round the blocks again as the rank grows.  Any run
 of slots therefore holds the sources close to their weights.
 
-No text is shuffled, no source is gathered: stream offsets and ranks are prefix sums in two levels,
-over buckets or chunks and within each of them.
+:func:`mix` shuffles no text, :func:`take` shuffles rows once to join them with what is taken.  No source
+is gathered: stream offsets and ranks are prefix sums in levels, over buckets or chunks and within each
+of them.  Only sources themselves, one row for each, are sorted in one task.
 
 Defined cases: null text has size 0 and is taken 0 times; null sources form one source that comes
-last; repeated rows keep places of their own; documents without an id are shuffled as if the id were
-empty; a source without words has target 0; an empty table gives no rows.
+last; documents are placed by the digest of id and text, so those without an id lie apart; rows that
+repeat an id, source and text are counted first and lie side by side, each with a place of its own; no
+two other rows tie; a source without words has target 0; a text of any length is one stretch of
+its stream; an empty table gives no rows; other columns are ignored by :func:`mix` and kept by :func:`take`.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillon.llm.common import cut
+from quillon.llm.common import cut, fresh
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -29,6 +32,8 @@ BLOCK_WORDS, MIN_BLOCKS = 256, 256
 #: The circle of the schedule's points and the golden step on it.
 CIRCLE, GOLDEN = 1 << 31, 1327217885
 SLOTS_PER_CHUNK, CELLS = 1024, 4096
+#: Chunks in a group of chunks, and rows that a bucket should have at most.
+CHUNKS_PER_GROUP, BUCKET_ROWS = 4096, 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -67,6 +72,12 @@ def _plan(targets: DataFrame, block_words: int, max_repeats: int) -> DataFrame:
     return table.withColumn("low", F.coalesce(F.lag("high").over(W.orderBy("sid")), F.lit(0)))
 
 
+def _before(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before, within ``keys`` by ``order``."""
+    line = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return df.withColumn(name, F.coalesce(F.sum(value).over(line), F.lit(0)))
+
+
 def schedule(plan: DataFrame, slots: int, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """slot, sid, block: which block of which source each slot takes."""
     spark = plan.sparkSession
@@ -75,7 +86,13 @@ def schedule(plan: DataFrame, slots: int, max_repeats: int = MAX_REPEATS) -> Dat
     parts = max(1, min(100_000, slots // 200_000 + 1))
     line = spark.range(0, slots, 1, parts).select(F.col("id").alias("slot"), ((F.col("id") % CIRCLE) * GOLDEN % CIRCLE).alias("point")).withColumn("cell", F.expr(f"point div {width}"))
     placed = line.join(cells, "cell").filter("point >= low and point < high").select("slot", "sid", "blocks", F.expr(f"slot div {SLOTS_PER_CHUNK}").alias("chunk"))
-    before = placed.groupBy("sid", "chunk").count().withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("sid").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    chunks = placed.groupBy("sid", "chunk").count().withColumn("group", F.expr(f"chunk div {CHUNKS_PER_GROUP}"))
+    if slots > SLOTS_PER_CHUNK * CHUNKS_PER_GROUP:
+        groups = _before(chunks.groupBy("sid", "group").agg(F.sum("count").alias("held")), ["sid"], "group", "held", "base").drop("held")
+        before = _before(chunks, ["sid", "group"], "chunk", "count", "inside").join(groups, ["sid", "group"])
+        before = before.select("sid", "chunk", (F.col("inside") + F.col("base")).alias("before"))
+    else:
+        before = _before(chunks, ["sid"], "chunk", "count", "before").select("sid", "chunk", "before")
     inside = placed.withColumn("rank", F.row_number().over(W.partitionBy("sid", "chunk").orderBy("slot")) - 1)
     ranked = inside.join(before, ["sid", "chunk"]).withColumn("rank", F.col("rank") + F.col("before"))
     return ranked.filter(F.col("rank") < F.col("blocks") * max_repeats).select("slot", "sid", (F.col("rank") % F.col("blocks")).alias("block"))
@@ -91,44 +108,54 @@ def _start_of(block: str) -> str:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each row: doc_id, source, copy, size, source_size, target, taken.
+    """For each row: doc_id, source, digest (of the text), copy, size, source_size, target, taken.
 
-    ``copy`` numbers the rows that agree in doc_id, source and size.  ``taken``: words that the mix
+    ``copy`` numbers the rows that agree in doc_id, source and text.  ``taken``: words that the mix
     takes of this row, repeats counted.
     """
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    own = ["doc_id", "source", "digest", "size"]
+    sized = cut(docs.select("doc_id", "source", F.xxhash64("text").alias("digest"), word_count(F.col("text")).alias("size")))
     plan = cut(_plan(source_targets(sized, weights, max_repeats), block_words, max_repeats))
     slots = plan.agg(F.max("slots")).head()[0] or 0
 
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix")))
-    placed = _with_plan(sized, plan)
-    placed = placed.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
-    sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("held"))
-    sums = sums.withColumn("base", F.coalesce(F.sum("held").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("held")
-    order = W.partitionBy("sid", "bucket").orderBy("key", "size", F.col("doc_id").asc_nulls_first())
-    rows = placed.withColumn("at", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.row_number().over(order))
-    rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("sid", "bucket").orderBy("key", "size", F.col("doc_id").asc_nulls_first())) - F.rank().over(W.partitionBy("sid", "bucket").orderBy("key", "size", F.col("doc_id").asc_nulls_first())))
-    rows = rows.join(sums, ["sid", "bucket"]).withColumn("at", F.col("at") + F.col("base"))
+    digits = 3
+    while 16**digits * BUCKET_ROWS < sized.count():
+        digits += 1
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("digest").cast("string"), F.lit("mix")))
+    placed = _with_plan(sized.groupBy(*own).agg(F.count("*").alias("copies")), plan)
+    placed = placed.withColumns({"key": key, "bucket": F.substring(key, 1, digits), "held": F.col("size") * F.col("copies")})
+    sums = _before(placed.groupBy("sid", "bucket").agg(F.sum("held").alias("held")), ["sid"], "bucket", "held", "base").drop("held")
+    line = W.partitionBy("sid", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    rows = placed.withColumn("at", F.coalesce(F.sum("held").over(line), F.lit(0))).join(sums, ["sid", "bucket"])
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    rows = rows.withColumn("at", F.col("at") + F.col("base") + F.col("copy") * F.col("size"))
 
     first, last = _block_of("at"), _block_of("at + size - 1")
     pieces = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(first), F.expr(last)))))
     pieces = pieces.withColumn("part", F.expr(f"least(at + size, {_start_of('block + 1')}) - greatest(at, {_start_of('block')})"))
     takes = schedule(plan, slots, max_repeats).groupBy("sid", "block").agg(F.count("*").alias("times"))
     joined = pieces.join(takes, ["sid", "block"], "left")
-    keys = ["doc_id", "source", "copy", "size", "source_size", "target"]
-    return joined.groupBy("sid", "bucket", "n", *keys).agg(F.coalesce(F.sum(F.col("part") * F.col("times")), F.lit(0)).cast("bigint").alias("taken")).select(*keys, "taken")
+    keys = ["doc_id", "source", "digest", "copy", "size", "source_size", "target"]
+    return joined.groupBy("sid", *keys).agg(F.coalesce(F.sum(F.col("part") * F.col("times")), F.lit(0)).cast("bigint").alias("taken")).select(*keys, "taken")
 
 
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The rows of ``docs`` that the mix takes words of, with size, source_size, target and taken."""
-    plan = mix(docs, weights, max_repeats).filter("taken > 0").withColumnsRenamed({c: f"__{c}" for c in ("doc_id", "source", "copy")})
-    added = ("size", "source_size", "target", "taken")
-    kept = [c for c in docs.columns if c not in added]
-    rows = docs.select(*kept, word_count(F.col("text")).alias("__size"))
-    same = ("doc_id", "source", "__size")
-    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy(*same).orderBy(*same)) - 1)
-    on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("size")) & (F.col("__n") == F.col("__copy"))
-    return rows.join(plan, on).select(*kept, *added)
+    """The rows of ``docs`` that the mix takes words of, with size, source_size, target and taken.
+
+    A name that ``docs`` has already gets _ appended.  Rows that repeat an id, source and text are
+    numbered by a hash of their other columns.
+    """
+    plan = mix(docs, weights, max_repeats).filter("taken > 0")
+    names = {c: fresh(docs, c) for c in ("size", "source_size", "target", "taken")}
+    marks = {c: fresh(docs, f"__{c}") for c in ("doc_id", "source", "digest", "copy")}
+    plan = plan.withColumnsRenamed(names | marks)
+    digest, nth = fresh(docs, "__own_digest"), fresh(docs, "__nth")
+    plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    rows = docs.withColumn(digest, F.xxhash64("text"))
+    same = W.partitionBy("doc_id", "source", digest).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+    rows = rows.withColumn(nth, F.row_number().over(same) - 1)
+    on = F.col("doc_id").eqNullSafe(F.col(marks["doc_id"])) & F.col("source").eqNullSafe(F.col(marks["source"])) & (F.col(digest) == F.col(marks["digest"])) & (F.col(nth) == F.col(marks["copy"]))
+    return rows.join(plan, on).select(*docs.columns, *names.values())
 
 
 def _with_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:

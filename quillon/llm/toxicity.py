@@ -1,10 +1,12 @@
 """Toxicity by a classifier chain over words, word beginnings and word ends.
 
-The chain predicts insult, then contempt, then toxic.  Each link is a logistic model over the presence
-of words, and the later ones also see the probabilities of the categories before them; in training
-these are out-of-fold predictions, so that no model sees an answer it was fitted on.  ``toxic`` is the
-tables' label; a labelled toxic text belongs to insult or contempt if it holds a term of that kind.
-The decision threshold is the one with the best F1 on out-of-fold probabilities.
+The chain predicts two kinds of toxicity, then toxic itself.  Each link is a logistic model over the
+presence of features, and the later ones also see the probabilities of the categories before them; in
+training these are out-of-fold predictions, so that no model sees an answer it was fitted on.
+``toxic`` is the tables' label.  The kinds are found in the labelled texts: telling features that stand
+together in toxic texts form a kind (two groups, by cosine of their occurrences), whatever the
+language, and a labelled toxic text belongs to each kind that gives at least a third of its telling
+features.  The decision threshold is the one with the best F1 on out-of-fold probabilities.
 
 The models are fitted on a bounded sample of labelled rows (``TRAIN_ROWS``) and a vocabulary of at
 most ``VOCABULARY`` words that stand in a greater share of the toxic texts than of the clean ones,
@@ -13,7 +15,10 @@ beyond chance.  Copies would make any word of theirs look telling, so the near-d
 
 Defined cases: null, empty or wordless texts are not toxic with score 0; labels without a document,
 with a null label or a null id are not learned from; without any usable label of both kinds nothing is
-toxic; repeated rows are judged alike; one output row for each input row.
+toxic; a doc_id that repeats is learned from once, with the text of the smallest hash, and is toxic if
+any of its labels is; equal scores get equal verdicts, and equally telling words go by code points;
+texts of any length are judged whole; other columns are ignored, whatever their names; one output row
+for each input row, so an empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,17 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import neardup
-from quillon.llm.common import cut, map_batches, py_crc_fold, slices
+from quillon.llm.common import cut, least_hash, map_batches, py_crc_fold, slices
 
-TRAIN_ROWS, VOCABULARY, FOLDS = 8000, 400, 5
+TRAIN_ROWS, VOCABULARY, FOLDS = 8000, 1000, 5
 #: A word is a feature if its log-likelihood ratio over different texts is so large.
-LEAST_RATIO = 30.0
-CHAIN = ("insult", "contempt", "toxic")
-#: Terms that place a toxic text in a category.
-TERMS = {
-    "insult": frozenset("idiot moron loser clown stupid fool dumb imbecile jerk".split()),
-    "contempt": frozenset("trash scum disgusting worthless pathetic garbage vermin filth".split()),
-}
+LEAST_RATIO = 15.0
+#: Least share of a text's telling features that puts it in a kind.
+KIND_SHARE = 1 / 3
+CHAIN = ("kind_1", "kind_2", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -79,7 +81,7 @@ class Chain:
     threshold: float
 
 
-def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 2e-4) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.3, decay: float = 2e-4) -> np.ndarray:
     """Logistic regression by Adam on all rows, the two classes weighing the same."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
     w = np.zeros(x.shape[1], np.float32)
@@ -101,8 +103,31 @@ def _apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))).astype(np.float32)
 
 
-def fit_chain(rows: list[tuple[object, bool, list[str], list[str]]], vocabulary: list[str]) -> Chain | None:
-    """``rows``: id, label, its words in the vocabulary, its categories."""
+def kinds_of(x: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """0 or 1 for each column of ``x`` (toxic rows by features): two groups of features that occur together.
+
+    Spherical k-means; the first centre is the most frequent feature, the second the one least like it.
+    """
+    unit = x / np.maximum(np.sqrt((x * x).sum(0, keepdims=True)), 1e-9)
+    first = int(x.sum(0).argmax()) if x.shape[1] else 0
+    if x.shape[1] < 2:
+        return np.zeros(x.shape[1], int)
+    centres = unit[:, [first, int((unit.T @ unit[:, first] - 1e-6 * x.sum(0) / max(len(x), 1)).argmin())]]
+    group = np.zeros(x.shape[1], int)
+    for _ in range(rounds):
+        now = (unit.T @ centres).argmax(1)
+        if (now == group).all() and now.any():
+            break
+        group = now
+        for k in (0, 1):
+            if (group == k).any():
+                centre = unit[:, group == k].sum(1)
+                centres[:, k] = centre / max(float(np.sqrt(centre @ centre)), 1e-9)
+    return group
+
+
+def fit_chain(rows: list[tuple[object, bool, list[str]]], vocabulary: list[str]) -> Chain | None:
+    """``rows``: id, label, its words in the vocabulary."""
     toxic = np.array([r[1] for r in rows], bool)
     if not len(rows) or toxic.all() or not toxic.any():
         return None
@@ -111,13 +136,14 @@ def fit_chain(rows: list[tuple[object, bool, list[str], list[str]]], vocabulary:
     for i, r in enumerate(rows):
         x[i, [index[w] for w in r[2]]] = 1
     fold = np.array([py_crc_fold(r[0], FOLDS) for r in rows])
+    group, held = kinds_of(x[toxic]), x.sum(1)
     weights: dict[str, np.ndarray] = {}
     p = np.zeros(len(rows), np.float32)
-    for name in CHAIN:
-        y = toxic if name == "toxic" else toxic & np.array([name in r[3] for r in rows])
+    for k, name in enumerate(CHAIN):
+        y = toxic if name == "toxic" else toxic & (held > 0) & (x[:, : len(index)][:, group == k].sum(1) >= KIND_SHARE * held)
         p = np.zeros(len(rows), np.float32)
-        for k in range(FOLDS):
-            if (here := fold == k).any() and not here.all():
+        for f in range(FOLDS):
+            if (here := fold == f).any() and not here.all():
                 p[here] = _apply(_fit(x[~here], y[~here]), x[here])
         weights[name] = _fit(x, y)
         x = np.concatenate([x, p[:, None]], 1)
@@ -154,10 +180,10 @@ def score(chain: Chain, texts: list[str | None], lookup: Lookup | None = None) -
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Chain | None:
     """Fit on at most ``most`` labelled rows, chosen by hash; only words and counts of these reach the driver."""
     usable = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null")
-    total = usable.count()
-    share = min(1.0, 0.95 * most / max(total, 1))
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    sample = chosen.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).limit(most)  # at most ``most`` rows: safe to broadcast
+    hashed = usable.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).withColumn("hash", F.xxhash64("doc_id", F.lit("toxicity")))
+    bound = least_hash(hashed, "hash", most)
+    sample = hashed if bound is None else hashed.filter(F.col("hash") <= bound)
+    sample = sample.select("doc_id", "toxic")  # at most ``most`` rows: safe to broadcast
 
     def counting() -> Callable:
         def one(batch: pa.RecordBatch):
@@ -171,12 +197,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Chain |
         return one
 
     # the sample's texts are read more than once: for copies, for counts and for what they hold
-    texts = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = cut(texts)
     kinds = cut(neardup.near_duplicates(texts).filter("component is not null").select("doc_id", "digest", F.col("component").alias("kind")).distinct())
     copied = kinds.groupBy("kind").agg(F.count("*").alias("copies")).filter("copies > 1").select("kind")
     # a null kind is a text without copies; the null word counts the texts
     kinds = kinds.join(copied, "kind", "left_semi")
-    told = texts.distinct().withColumn("digest", F.xxhash64("text")).join(kinds, ["doc_id", "digest"], "left")
+    told = texts.withColumn("digest", F.xxhash64("text")).join(kinds, ["doc_id", "digest"], "left")
     counts = map_batches(told.select("text", "toxic", "kind"), counting, "word string, toxic boolean, kind binary, n bigint").groupBy("word", "toxic", "kind").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("n", F.when(F.col("kind").isNull(), F.col("n")).otherwise(1))
     counts = cut(counts.groupBy("word").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("good")).filter("bad + good > 4 or word is null"))
@@ -197,21 +224,21 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Chain |
             for part in slices(batch):
                 known = [words(t) for t in part.column("text").to_pylist()]
                 held = [[vocabulary[k] for k in sorted(lookup(w))] for w in known]
-                yield {"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "words": held, "categories": [[c for c in TERMS if TERMS[c] & w] for w in known]}
+                yield {"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "words": held}
 
         return one
 
-    rows = [tuple(r) for r in map_batches(texts, listing, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic boolean, words array<string>, categories array<string>").collect()]
+    rows = [tuple(r) for r in map_batches(texts, listing, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic boolean, words array<string>").collect()]
     return fit_chain(sorted(rows, key=lambda r: (r[0], r[2])), vocabulary)
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, toxic, score, p_insult, p_contempt for each row."""
+    """doc_id, toxic, score, p_kind_1, p_kind_2 for each row."""
     chain = learn(docs, labels, most)
-    ddl = f"doc_id {dict(docs.dtypes)['doc_id']}, toxic boolean, score double, p_insult double, p_contempt double"
+    ddl = f"doc_id {dict(docs.dtypes)['doc_id']}, toxic boolean, score double, p_kind_1 double, p_kind_2 double"
     if chain is None:
         none = F.lit(0.0)
-        return docs.select("doc_id", F.lit(False).alias("toxic"), none.alias("score"), none.alias("p_insult"), none.alias("p_contempt"))
+        return docs.select("doc_id", F.lit(False).alias("toxic"), none.alias("score"), none.alias("p_kind_1"), none.alias("p_kind_2"))
 
     def make() -> Callable:
         lookup = Lookup(chain.vocabulary)
@@ -219,7 +246,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Data
         def one(batch: pa.RecordBatch):
             for part in slices(batch, limit=2 << 20):
                 p, verdict = score(chain, part.column("text").to_pylist(), lookup)
-                yield {"doc_id": part.column("doc_id"), "toxic": verdict, "score": p["toxic"], "p_insult": p["insult"], "p_contempt": p["contempt"]}
+                yield {"doc_id": part.column("doc_id"), "toxic": verdict, "score": p["toxic"], "p_kind_1": p["kind_1"], "p_kind_2": p["kind_2"]}
 
         return one
 
