@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from functools import lru_cache
+from itertools import chain
 
 import regex
 
@@ -17,38 +18,85 @@ from quillon.schema import Vocab
 
 META = "▁"
 _BLANK = re.compile(r"[ \t\n\r]")
-_UNICODE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-CACHE = 1 << 17
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNICODE_SPACE, _UNICODE_WORD = re.compile(f"[{_SPACES}]+"), re.compile(f"[^{_SPACES}]+")
+#: Fragments whose results a model remembers, and the longest that it remembers.
+CACHE, CACHED_LENGTH = 1 << 17, 64
 
 
 class Longest:
-    """Longest vocabulary entry at a place: entries by first character, lengths in falling order."""
+    """Longest vocabulary entry at a place: the lengths to try, falling, by an entry's first two characters."""
 
     def __init__(self, ids: dict[str, int]) -> None:
         self.ids = ids
         lengths: dict[str, set[int]] = {}
         for t in ids:
             if t:
-                lengths.setdefault(t[0], set()).add(len(t))
-        self.lengths = {c: sorted(n, reverse=True) for c, n in lengths.items()}
+                lengths.setdefault(t[:2], set()).add(len(t))
+        single = {t: n for t, n in lengths.items() if len(t) == 1}
+        self.lengths = {c: sorted(n | single.get(c[0], set()), reverse=True) for c, n in lengths.items()}
+        self.single = {c: 1 for c in single}
+
+    def of(self, text: str, at: int) -> list[int]:
+        """Lengths that entries beginning like the text may have, falling."""
+        found = self.lengths.get(text[at : at + 2])
+        return found if found is not None else [1] if text[at] in self.single else []
 
     def __call__(self, text: str, at: int) -> tuple[int, int]:
-        for n in self.lengths.get(text[at], ()):
-            if (k := self.ids.get(text[at : at + n])) is not None and at + n <= len(text):
+        ids, room = self.ids, len(text) - at
+        for n in self.of(text, at):
+            if n <= room and (k := ids.get(text[at : at + n])) is not None:
                 return k, n
         return -1, 0
 
 
+class Memo(dict):
+    """What a function gave for fragments, forgotten all at once when there are too many."""
+
+    def __init__(self, f, most: int = CACHE) -> None:
+        super().__init__()
+        self.f, self.most = f, most
+
+    def __missing__(self, fragment: str):
+        out = self.f(fragment)
+        if len(fragment) <= CACHED_LENGTH and self.most:
+            if len(self) >= self.most:
+                self.clear()
+            self[fragment] = out
+        return out
+
+
 class Model:
     kind = ""
 
     def __init__(self, vocab: Vocab) -> None:
         self.vocab, self.ids = vocab, vocab.ids()
         self.longest = Longest(self.ids)
+        self.memo, self.sizes = Memo(self._fragment), Memo(lambda f: len(self.memo[f]))
 
-    def body(self, text: str) -> list[int]:
+    def set_cache(self, most: int) -> None:
+        """How many fragments are remembered; 0 for none."""
+        self.memo.most = self.sizes.most = most
+        self.clear_cache()
+
+    def clear_cache(self) -> None:
+        self.memo.clear()
+        self.sizes.clear()
+
+    def fragments(self, text: str) -> list[str]:
+        """The parts of a text that are encoded each by itself."""
+        raise NotImplementedError
+
+    def _fragment(self, text: str) -> tuple[int, ...]:
         raise NotImplementedError
 
+    def body(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.fragments(text))))
+
+    def size(self, text: str) -> int:
+        """The number of ids of :meth:`body`."""
+        return sum(map(self.sizes.__getitem__, self.fragments(text)))
+
     def encode(self, text: str | None) -> list[int] | None:
         if text is None:
             return None
@@ -58,8 +106,14 @@ class Model:
         return [*([v.bos] if v.add_bos and v.bos is not None else []), *self.body(text), *([v.eos] if v.add_eos and v.eos is not None else [])]
 
     def count(self, text: str | None) -> int | None:
-        ids = self.encode(text)
-        return None if ids is None else len(ids)
+        if not text:
+            return None if text is None else 0
+        v = self.vocab
+        return self.size(text) + (v.add_bos and v.bos is not None) + (v.add_eos and v.eos is not None)
+
+    def piece(self, text: str) -> list[int]:
+        """Ids of a piece that a pre-tokenizer has cut: the model's rule for one fragment, without marks around it."""
+        return list(self.memo[text]) if text else []
 
     def tokens(self, ids: list[int]) -> list[str]:
         return [self.token(i) for i in ids]
@@ -138,20 +192,51 @@ class Bpe(Model):
         self.mode = vocab.pre_type if vocab.pre_type != "default" else "gemma4" if "gemma" in named or "gemini" in named else "default"
         short = {t: k for t, k in self.ids.items() if t[:1] in "<[#" and t and 2 <= len(t.encode()) <= 32}
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(short, key=len, reverse=True))) if short else None
-        self.fragment = lru_cache(maxsize=CACHE)(self._fragment)
+        self.starts = {t[0] for t in short}
 
     def body(self, text: str) -> list[int]:
         if text in self.ids:
             return [self.ids[text]]
+        if self.special is None or not any(c in text for c in self.starts):
+            return super().body(text)
         out, at = [], 0
-        for m in self.special.finditer(text) if self.special else ():
-            out += self._gap(text[at : m.start()])
+        for m in self.special.finditer(text):
+            out += super().body(text[at : m.start()])
             out.append(self.ids[m[0]])
             at = m.end()
-        return out + self._gap(text[at:])
+        return out + super().body(text[at:])
+
+    def size(self, text: str) -> int:
+        if self.special is None and text not in self.ids:
+            return super().size(text)
+        return len(self.body(text))
+
+    def fragments(self, text: str) -> list[str]:
+        return bpe_fragments(text, self.mode, self.mark) if text else []
+
+    def chunked(self, text: str, chunk: int = 16384) -> list[int]:
+        """Ids of a long text cut into chunks that are each encoded alone, without the scan for special tokens.
+
+        Boundaries show: this is for comparison with engines that encode chunks side by side.  Here
+        rows are what runs side by side, so nothing else uses it.
+        """
+        out: list[int] = []
+        for part in chunks_of(text, chunk):
+            out += chain.from_iterable(map(self.memo.__getitem__, self.fragments(part)))
+        return out
 
-    def _gap(self, text: str) -> list[int]:
-        return [i for f in bpe_fragments(text, self.mode, self.mark) for i in self.fragment(f)] if text else []
+    def plain(self, text: str) -> list[int]:
+        """Ids without a search for long entries: a fragment is one entry or its characters are encoded one by one."""
+        out: list[int] = []
+        for f in self.fragments(text):
+            out += [self.ids[f]] if f in self.ids else chain.from_iterable(map(self._unit, f))
+        return out
+
+    def _unit(self, c: str) -> tuple[int, ...]:
+        unk = self.vocab.unk
+        if c in self.ids:
+            return (self.ids[c],)
+        return () if unk is not None and unk < 0 else (unk if unk is not None else ord(c) if c < "\x80" else -(ord(c) + 1),)
 
     def _fragment(self, text: str) -> tuple[int, ...]:
         out, at, unk = [], 0, self.vocab.unk
@@ -200,23 +285,53 @@ def _word(c: str) -> bool:
     return bool(re.match("[A-Za-z\u00c0-\u024f]", c)) and (c.isalpha() or c.isdigit())
 
 
+def chunks_of(text: str, size: int) -> list[str]:
+    """Cut every ``size`` bytes of UTF-8, but inside no character: the one at the cut stays before it."""
+    out, now, held = [], 0, 0
+    for at, c in enumerate(text):
+        if held >= size:
+            out.append(text[now:at])
+            now, held = at, 0
+        held += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+    return [*out, text[now:]] if text else []
+
+
 def to_meta(text: str) -> str:
     return META + _BLANK.sub(META, text) if text else text
 
 
+_WORDS = re.compile(f"{META}*[^{META}]+|{META}+")
+
+
+def marks_lead(tokens: tuple[str, ...]) -> bool:
+    """Whether ▁ stands only at the beginning of entries; then no entry reaches over the beginning of a word."""
+    return not any(META in t.lstrip(META) for t in tokens)
+
+
 class Spm(Model):
     kind = "spm"
 
-    def body(self, text: str) -> list[int]:
-        text, out, at = to_meta(text), [], 0
+    def __init__(self, vocab: Vocab) -> None:
+        super().__init__(vocab)
+        self.by_word = marks_lead(vocab.tokens)
+
+    def fragments(self, text: str) -> list[str]:
+        text = to_meta(text)
+        return _WORDS.findall(text) if self.by_word else [text]
+
+    def piece(self, text: str) -> list[int]:
+        return self.body(text)
+
+    def _fragment(self, text: str) -> tuple[int, ...]:
+        out, at, unk = [], 0, self.vocab.unk
         while at < len(text):
             k, n = self.longest(text, at)
             if n:
                 out.append(k)
-            elif self.vocab.unk is not None:
-                out.append(self.vocab.unk)
+            elif unk is not None:
+                out.append(unk)
             at += n or 1
-        return out
+        return tuple(out)
 
     def detokenize(self, ids: list[int]) -> str:
         out, before = "", ""
@@ -244,6 +359,7 @@ class Unigram(Model):
     def __init__(self, vocab: Vocab, viterbi: bool = False) -> None:
         super().__init__(vocab)
         self.score, self.viterbi = vocab.score_of(), viterbi
+        self.by_word = marks_lead(vocab.tokens) and not viterbi
 
     def segment(self, text: str) -> tuple[list[int], float]:
         text = to_meta(text)
@@ -267,7 +383,7 @@ class Unigram(Model):
         for at in range(len(text)):
             if best[at] == -math.inf:
                 continue
-            edges = [(k, n) for n in self.longest.lengths.get(text[at], ()) if at + n <= len(text) and (k := self.ids.get(text[at : at + n])) is not None]
+            edges = [(k, n) for n in self.longest.of(text, at) if at + n <= len(text) and (k := self.ids.get(text[at : at + n])) is not None]
             if not edges and self.vocab.unk is not None:
                 edges = [(self.vocab.unk, 1)]
             for k, n in edges:
@@ -281,8 +397,24 @@ class Unigram(Model):
             out.append(k)
         return out[::-1], best[-1]
 
+    def fragments(self, text: str) -> list[str]:
+        text = to_meta(text)
+        return _WORDS.findall(text) if self.by_word else [text]
+
+    def _fragment(self, text: str) -> tuple[int, ...] | None:
+        """None if some character cannot be encoded; then the whole text has no ids."""
+        ids = (self._best(text) if self.viterbi else self._greedy(text))[0]
+        return tuple(ids) if ids or not text else None
+
     def body(self, text: str) -> list[int]:
-        return self.segment(text)[0]
+        found = list(map(self.memo.__getitem__, self.fragments(text)))
+        return [] if None in found else list(chain.from_iterable(found))
+
+    def size(self, text: str) -> int:
+        return super().size(text) if self.vocab.unk is not None else len(self.body(text))
+
+    def piece(self, text: str) -> list[int]:
+        return self.body(text)
 
     def detokenize(self, ids: list[int]) -> str:
         out, before = "", ""
@@ -300,12 +432,11 @@ class WordPiece(Model):
     def __init__(self, vocab: Vocab) -> None:
         super().__init__(vocab)
         self.gap = next((self.ids[t] for t in (" ", " ##", "##") if t in self.ids), None)
-        self.word = lru_cache(maxsize=CACHE)(self._word)
 
     def _goes_on(self, ids: list[int]) -> bool:
         return bool(ids) and self.token(ids[-1]).startswith("##")
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _fragment(self, word: str) -> tuple[int, ...]:
         out: list[int] = []
         at = 0
         while at < len(word):
@@ -328,14 +459,17 @@ class WordPiece(Model):
                 rest = rest[n - 2 :]
         return tuple(out)
 
+    def fragments(self, text: str) -> list[str]:
+        return _UNICODE_WORD.findall(text)
+
     def body(self, text: str) -> list[int]:
-        out: list[int] = []
-        for k, word in enumerate(w for w in _UNICODE_SPACE.split(text) if w):
-            ids = self.word(word)
-            if k and ids and self.gap is not None:
-                out.append(self.gap)
-            out += ids
-        return out
+        if self.gap is None:
+            return super().body(text)
+        found = list(map(self.memo.__getitem__, self.fragments(text)))
+        return list(chain(*found[:1], *((self.gap, *ids) if ids else () for ids in found[1:]))) if found else []
+
+    def size(self, text: str) -> int:
+        return super().size(text) if self.gap is None else len(self.body(text))
 
     def detokenize(self, ids: list[int]) -> str:
         out = ""
@@ -352,6 +486,19 @@ def register(kind: str, model: type[Model]) -> None:
     MODELS[kind] = model
 
 
+_MADE: dict[str, Model] = {}
+
+
+def shared_model(vocab: Vocab) -> Model:
+    """The model of a vocabulary, built once in each process and remembered for the last few vocabularies."""
+    key = vocab.key()
+    if key not in _MADE:
+        while len(_MADE) >= 4:
+            del _MADE[next(iter(_MADE))]
+        _MADE[key] = new_model(vocab)
+    return _MADE[key]
+
+
 def new_model(vocab: Vocab) -> Model:
     """The model that the vocabulary names; with merges and an unknown name, byte pairs."""
     kind = vocab.model if vocab.model in MODELS else "bpe" if vocab.tokens and vocab.merges else None

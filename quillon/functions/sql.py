@@ -2,39 +2,32 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from quillon.functions.models import new_model
+from quillon.functions.models import shared_model
 from quillon.schema import Vocab
 
 
 def register(spark: SparkSession, name: str, vocab: Vocab) -> None:
     """``encode_<name>(text)``, ``count_<name>(text)``, ``decode_<name>(ids)`` and the table function ``tokens_<name>(text)``."""
-    made: list = []
+    @F.arrow_udf("array<bigint>")
+    def encode(texts: pa.Array) -> pa.Array:
+        return pa.array([shared_model(vocab).encode(t) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
-    def model():
-        if not made:
-            made.append(new_model(vocab))
-        return made[0]
+    @F.arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([shared_model(vocab).count(t) for t in texts.to_pylist()], pa.int64())
 
-    @F.pandas_udf("array<bigint>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: model().encode(t))
-
-    @F.pandas_udf("bigint")
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: model().count(t))
-
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else model().detokenize([int(i) for i in x]))
+    @F.arrow_udf("string")
+    def decode(ids: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else shared_model(vocab).detokenize(x) for x in ids.to_pylist()], pa.string())
 
     class Tokens:
         def eval(self, text: str):
-            m = new_model(vocab)
+            m = shared_model(vocab)
             for pos, i in enumerate(m.encode(text) or []):
                 yield pos, i, m.token(i)
 

@@ -86,14 +86,28 @@ def word_to_chars(words: Column, offsets: Column, word: Column | int) -> Column:
     return F.when(span.isNotNull(), F.struct(F.get(offsets, span["start"])["start"].alias("start"), F.get(offsets, span["end"] - 1)["end"].alias("end")))
 
 
+def token_to_word(words: Column, token: Column | int) -> Column:
+    """The word of a token; null if it has none or there is no such token."""
+    word = F.get(words, F.lit(token))
+    return F.when(word >= 0, word)
+
+
+def token_to_chars(offsets: Column, token: Column | int) -> Column:
+    """(start, end) of a token's characters; null if there is no such token."""
+    return F.get(offsets, F.lit(token))
+
+
 def char_to_token(offsets: Column, at: Column | int) -> Column:
-    """The first token over a character; null if there is none."""
-    hit = F.filter(F.transform(offsets, lambda o, i: F.struct(o.alias("o"), i.alias("i"))), lambda x: (x["o"]["start"] <= F.lit(at)) & (F.lit(at) < x["o"]["end"]))
-    return F.get(hit, F.lit(0))["i"]
+    """The first token over a character; null if there is none.  One pass over the offsets."""
+    over = F.transform(offsets, lambda o: (o["start"] <= F.lit(at)) & (F.lit(at) < o["end"]))
+    place = F.array_position(over, F.lit(True))
+    return F.when(place > 0, (place - 1).cast("int"))
 
 
 def char_to_word(words: Column, offsets: Column, at: Column | int) -> Column:
-    word = F.get(words, char_to_token(offsets, at))
+    """The word of the first token over a character."""
+    place = F.array_position(F.transform(offsets, lambda o: (o["start"] <= F.lit(at)) & (F.lit(at) < o["end"])), F.lit(True))
+    word = F.get(words, (place - 1).cast("int"))  # null where the place is 0
     return F.when(word >= 0, word)
 
 

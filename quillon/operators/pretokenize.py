@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions import models
+from quillon.functions.arrow import strings_by_row, with_offsets
 from quillon.functions.regex import BPE_MODES, BYTE_LEVEL, PUNCT, WORD, WS4, WS_RE2
 
+__all__ = ["with_offsets"]  # from the Arrow functions, beside all that is defined here
 PreTokenizer = Callable[[Column], Column]
 BEHAVIORS = ("removed", "isolated", "merged_with_previous", "merged_with_next", "contiguous")
 _CUT, _HIT, _GAP = "﷐", "﷑", "﷒"
@@ -54,19 +57,25 @@ def split(pattern: str, behavior: str = "removed", invert: bool = False) -> PreT
             return F.transform(F.filter(parts, lambda p: ~hit(p)), lambda p: p["piece"])
         if behavior == "isolated":
             return F.transform(parts, lambda p: p["piece"])
-        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(False).alias("hit"))
         joins = {
-            "merged_with_previous": lambda a, p: hit(p) & ~a["hit"],
-            "merged_with_next": lambda a, p: a["hit"] & ~hit(p),
-            "contiguous": lambda a, p: a["hit"] == hit(p),
+            "merged_with_previous": lambda before, now: now and not before,
+            "merged_with_next": lambda before, now: before and not now,
+            "contiguous": lambda before, now: before == now,
         }[behavior]
 
-        def step(a: Column, p: Column) -> Column:
-            on = joins(a, p) & (a["now"] != "")
-            done = F.when(on | (a["now"] == ""), a["done"]).otherwise(F.concat(a["done"], F.array(a["now"])))
-            return F.struct(done.alias("done"), F.when(on, F.concat(a["now"], p["piece"])).otherwise(p["piece"]).alias("now"), hit(p).alias("hit"))
+        def merged(row: list[dict]) -> list[str]:
+            out: list[list[str]] = []
+            before = None
+            for p in row:
+                now = p["hit"] != invert
+                if before is not None and joins(before, now):
+                    out[-1].append(p["piece"])
+                else:
+                    out.append([p["piece"]])
+                before = now
+            return ["".join(x) for x in out]
 
-        return F.aggregate(parts, start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+        return strings_by_row(merged)(parts)
 
     return apply
 
@@ -96,13 +105,28 @@ def bert() -> PreTokenizer:
     return lambda c: find_all(c, f"[{PUNCT}]|[^{PUNCT}{WS_RE2}]+")
 
 
-def metaspace(mark: str = "▁", scheme: str = "always") -> PreTokenizer:
-    def apply(c: Column) -> Column:
+SCHEMES = ("always", "first", "never")
+
+
+def metaspace(mark: str = "▁", scheme: str = "always", first: bool = True) -> PreTokenizer:
+    """Spaces as ``mark``, split before each; with one in front by ``scheme``.
+
+    ``first``: whether what is split begins its text; only then the scheme ``first`` puts a mark before it.
+    :func:`sequence` says so to its steps.
+    """
+    if scheme not in SCHEMES:
+        raise ValueError(f"scheme must be one of {SCHEMES}")
+
+    def apply(c: Column, first: bool | Column = first) -> Column:
         marked = F.regexp_replace(c, f"[{WS_RE2}]", mark)
-        if scheme != "never":
+        if scheme == "first":
+            begins = F.lit(first) if isinstance(first, bool) else first
+            marked = F.when(~begins | marked.startswith(mark) | (marked == ""), marked).otherwise(F.concat(F.lit(mark), marked))
+        elif scheme != "never":
             marked = F.when(marked.startswith(mark) | (marked == ""), marked).otherwise(F.concat(F.lit(mark), marked))
         return find_all(marked, f"{mark}?[^{mark}]+|{mark}")
 
+    apply.by_place = scheme == "first"
     return apply
 
 
@@ -142,28 +166,20 @@ def unicode_script() -> PreTokenizer:
     return lambda c: find_all(F.regexp_replace(c, r"\A +", ""), runs)
 
 
+def _by_place(step: Callable[..., Column]) -> Callable[[Column, Column], Column]:
+    return lambda p, i: step(p, i == 0)
+
+
 def sequence(*steps: PreTokenizer) -> PreTokenizer:
     def apply(c: Column) -> Column:
         pieces = steps[0](c)
         for step in steps[1:]:
-            pieces = F.flatten(F.transform(pieces, step))
+            pieces = F.flatten(F.transform(pieces, _by_place(step) if getattr(step, "by_place", False) else step))
         return pieces
 
     return apply
 
 
-def with_offsets(pieces: Column, unit: str = "char") -> Column:
-    """Array of (value, start, end) for pieces that cover the text without gaps."""
-    size = F.length if unit == "char" else F.octet_length
-    start = F.struct(F.array().cast("array<struct<value:string,start:int,end:int>>").alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, p: Column) -> Column:
-        end = a["at"] + size(p)
-        return F.struct(F.concat(a["out"], F.array(F.struct(p.alias("value"), a["at"].alias("start"), end.alias("end")))).alias("out"), end.alias("at"))
-
-    return F.aggregate(pieces, start, step, lambda a: a["out"])
-
-
 # --- pre-tokenization of the byte-pair model
 
 
@@ -190,14 +206,7 @@ def with_spaces(fragments: Column, mark: str = "") -> Column:
     blank = lambda p: p.rlike(r"\A[ \t\n\x0B\f\r]*\z")
     if not mark:
         return F.filter(fragments, lambda p: ~blank(p))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("k"))
-
-    def step(a: Column, p: Column) -> Column:
-        head = F.when(a["k"] > 1, F.array(F.repeat(F.lit(mark), a["k"] - 1))).otherwise(F.array().cast("array<string>"))
-        body = F.array(F.when(a["k"] > 0, F.concat(F.lit(mark), p)).otherwise(p))
-        return F.struct(F.when(blank(p), a["out"]).otherwise(F.concat(a["out"], head, body)).alias("out"), F.when(blank(p), a["k"] + F.length(p)).otherwise(0).alias("k"))
-
-    return F.aggregate(fragments, start, step, lambda a: F.concat(a["out"], F.array_repeat(F.lit(mark), a["k"])))
+    return strings_by_row(lambda row: models.with_spaces(row, mark))(fragments)
 
 
 def bpe(mode: str = "default", mark: str = "") -> PreTokenizer:

@@ -23,8 +23,16 @@ SQL: dict[str, str] = {}
 SPACED = "chr(9) || ' ' || text || chr(160) || chr(10)"
 
 
+#: A table below this many bytes for each core may lie in one row group, which one task would read.
+SMALL_BYTES = 16 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; a small one of texts is dealt to all cores, as its files may have too few row groups for that."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if "text" in df.columns and size < SMALL_BYTES * cores else df
 
 
 def quoted(text: str) -> str:
@@ -174,17 +182,20 @@ def _ids_sql(vocab: Vocab, text: str, unknown: str) -> str:
     return f"list_filter(list_transform({found}, lambda x: coalesce({_table(vocab)}[x], {unknown})::varchar), lambda x: x is not null)"
 
 
-id_query("encode_spm", lambda c: encode.encode_native(c, V.SPM), _ids_sql(V.SPM, _META, "null"))
-id_query("encode_spm_unk", lambda c: encode.encode_native(c, V.SPM_UNK), _ids_sql(V.SPM_UNK, _META, "0"))
-id_query("encode_unigram", lambda c: encode.encode_native(c, V.UNIGRAM), _ids_sql(V.UNIGRAM, _META, "0"))
+id_query("encode_spm", lambda c: encode.encode(c, V.SPM), _ids_sql(V.SPM, _META, "null"))
+id_query("encode_spm_unk", lambda c: encode.encode(c, V.SPM_UNK), _ids_sql(V.SPM_UNK, _META, "0"))
+id_query("encode_unigram", lambda c: encode.encode(c, V.UNIGRAM), _ids_sql(V.UNIGRAM, _META, "0"))
 _BPE_FRAGMENTS = f"list_filter({_KEPT['gpt2']}, {_NO_BLANK})"
 _BPE_FOUND = all_of(alternation(list(V.BPE.tokens)).removeprefix("(?s)"), "f")
 id_query(
     "encode_bpe",
-    lambda c: encode.encode_native(c, V.BPE),
+    lambda c: encode.encode(c, V.BPE),
     f"list_transform(flatten(list_transform({_BPE_FRAGMENTS}, lambda f: {_BPE_FOUND})), lambda x: coalesce({_table(V.BPE)}[x], case when unicode(x) < 128 then unicode(x) else -(unicode(x) + 1) end)::varchar)",
 )
 id_query("encode_bpe_kernel", lambda c: encode.encode_kernel(c, V.BPE), SQL["encode_bpe"].split(", ", 1)[1].partition("(select doc_id, ")[2].partition(" as p from")[0])
+for _name, _vocab in (("bpe", V.BPE), ("spm", V.SPM_UNK), ("unigram", V.UNIGRAM)):
+    id_query(f"encode_{_name}_native", lambda c, v=_vocab: encode.encode_native(c, v), None)
+    SQL[f"encode_{_name}_native"] = SQL["encode_spm_unk" if _name == "spm" else f"encode_{_name}"]
 id_query("encode_bpe_special", lambda c: encode.encode_kernel(c, V.BPE_SPECIAL), None)
 id_query("encode_wordpiece", lambda c: encode.encode_kernel(c, V.WORDPIECE), None)
 
@@ -209,12 +220,12 @@ SQL["encode_unigram_score"] = f"select doc_id, round(list_sum(list_transform({al
 
 for _name, _vocab in (("bpe", V.BPE), ("spm", V.SPM_UNK), ("unigram", V.UNIGRAM), ("wordpiece", V.WORDPIECE)):
     text_query(f"detok_{_name}", lambda c, v=_vocab: encode.detokenize(encode.encode(c, v), v), None)
-id_query("tokens_spm", lambda c: encode.tokens(encode.encode_native(c, V.SPM), V.SPM), f"list_filter({all_of(alternation(list(V.SPM.tokens)).removeprefix('(?s)'), _META)}, lambda x: {_table(V.SPM)}[x] is not null)")
+id_query("tokens_spm", lambda c: encode.tokens(encode.encode(c, V.SPM), V.SPM), f"list_filter({all_of(alternation(list(V.SPM.tokens)).removeprefix('(?s)'), _META)}, lambda x: {_table(V.SPM)}[x] is not null)")
 
 
 def spm_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each token occurs in each language."""
-    each = read(spark, sf_dir, "documents").select("lang", F.explode(encode.encode_native(F.col("text"), V.SPM)).alias("id"))
+    each = read(spark, sf_dir, "documents").select("lang", F.explode(encode.encode(F.col("text"), V.SPM)).alias("id"))
     return each.groupBy("lang", "id").agg(F.count("*").alias("n"))
 
 
@@ -277,7 +288,7 @@ _DOCS = f"(select doc_id, {_IDS} as ids from (select doc_id, text as t from docu
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", encode.encode_native(F.col("text"), V.SPM_UNK).alias("ids"))
+    return read(spark, sf_dir, "documents").select("doc_id", encode.encode(F.col("text"), V.SPM_UNK).alias("ids"))
 
 
 def _id_digest(df: DataFrame, *keys: str) -> DataFrame:
@@ -311,7 +322,7 @@ SQL["enc_pad_batch_longest"] = f"select doc_id, {_DIGEST} from (select doc_id, i
 
 def _pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a conversation with the next one, as ids."""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", encode.encode_native(F.col("text"), V.SPM_UNK).alias("a"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", encode.encode(F.col("text"), V.SPM_UNK).alias("a"))
     after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
     return rows.join(after, ["conv_id", "turn"])
 
@@ -348,22 +359,39 @@ SQL["enc_merge_growing"] = f"select conv_id, turn, la + lb as n, la + lb as last
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character pieces of each word with their offsets and word numbers, for the look-ups."""
     words = pretokenize.with_offsets(pretokenize.split_class(" ", "isolated")(F.col("text")))
-    return read(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: F.struct(w["start"], w["end"])).alias("offsets"), F.transform(words, lambda w, i: F.when(w["value"] == " ", -1).otherwise(F.expr("0") + i)).alias("words"))
+    once = read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size"), words.alias("w"))
+    return once.select("doc_id", "size", F.transform("w", lambda w: F.struct(w["start"], w["end"])).alias("offsets"), F.transform("w", lambda w, i: F.when(w["value"] == " ", -1).otherwise(i)).alias("words"))
 
 
 _OFF = f"""with p as (select doc_id, unnest({all_of('[ ]|[^ ]+', 'text')}) as x, generate_subscripts({all_of('[ ]|[^ ]+', 'text')}, 1) - 1 as i from documents),
 o as (select doc_id, x, i, sum(length(x)) over (partition by doc_id order by i) as e from p) """
+#: Places asked for in each text: the first, some inside, its middle, its last character and one beyond.
+_CHARS = (("0", "0"), ("50", "50"), ("size div 2", "size // 2"), ("size - 1", "size - 1"), ("size", "size"))
+_NUMBERS = (0, 1, 10, 40, 1000)
 
 
-def _lookup(name: str, f: Callable[[], Column], sql: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: _spans(spark, sf_dir).select("doc_id", f().cast("bigint").alias("found"))
-    SQL[name] = _OFF + f"select d.doc_id, r.found::bigint as found from documents d left join (select doc_id, {sql} group by doc_id) r using (doc_id)"
+def _lookup(name: str, f: Callable[[Column], Column], places: list[tuple[Column, str]], sql: Callable[[str], str]) -> None:
+    """``f`` at each place, and DuckDB's answer: a select of doc_id and found for a place, over ``o`` and the text's size."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = [F.coalesce(f(at).cast("string"), F.lit("none")) for at, _ in places]
+        return _spans(spark, sf_dir).select("doc_id", F.concat_ws(",", *found).alias("found"))
 
-_lookup("enc_char2token", lambda: encoding.char_to_token(F.col("offsets"), 50), "min(i) as found from o where e > 50 and e - length(x) <= 50")
-_lookup("enc_char2word", lambda: encoding.char_to_word(F.col("words"), F.col("offsets"), 50), "min(i) as found from o where e > 50 and e - length(x) <= 50 and x <> ' '")
-_lookup("enc_word2tokens", lambda: encoding.word_to_tokens(F.col("words"), 10)["end"], "min(i) + 1 as found from o where i = 10 and x <> ' '")
-_lookup("enc_word2chars", lambda: encoding.word_to_chars(F.col("words"), F.col("offsets"), 10)["end"], "min(e) as found from o where i = 10 and x <> ' '")
+    QUERIES[name] = run
+    size = "select o.*, d.size from o join (select doc_id, length(text) as size from documents) d using (doc_id)"
+    each = " union all ".join(f"select {k} as k, doc_id, ({sql(at)})::varchar as found from ({size}) s group by doc_id, size" for k, (_, at) in enumerate(places))
+    SQL[name] = _OFF + f", r as ({each}) select doc_id, string_agg(coalesce(found, 'none'), ',' order by k) as found from r group by doc_id"
+
+
+_AT_CHARS = [(F.expr(f"int({a})"), b) for a, b in _CHARS]
+_AT_NUMBERS = [(F.lit(n), str(n)) for n in _NUMBERS]
+_span = lambda s: F.when(s.isNotNull(), F.concat_ws("-", s["start"], s["end"]))
+_lookup("enc_char2token", lambda at: encoding.char_to_token(F.col("offsets"), at), _AT_CHARS, lambda at: f"min(i) filter (e > {at} and e - length(x) <= {at})")
+_lookup("enc_char2word", lambda at: encoding.char_to_word(F.col("words"), F.col("offsets"), at), _AT_CHARS, lambda at: f"min(i) filter (e > {at} and e - length(x) <= {at} and x <> ' ')")
+_lookup("enc_word2tokens", lambda n: _span(encoding.word_to_tokens(F.col("words"), n)), _AT_NUMBERS, lambda n: f"min(i || '-' || (i + 1)) filter (i = {n} and x <> ' ')")
+_lookup("enc_word2chars", lambda n: _span(encoding.word_to_chars(F.col("words"), F.col("offsets"), n)), _AT_NUMBERS, lambda n: f"min((e - length(x))::bigint || '-' || e::bigint) filter (i = {n} and x <> ' ')")
+_lookup("enc_token2word", lambda n: encoding.token_to_word(F.col("words"), n), _AT_NUMBERS, lambda n: f"min(i) filter (i = {n} and x <> ' ')")
+_lookup("enc_token2chars", lambda n: _span(encoding.token_to_chars(F.col("offsets"), n)), _AT_NUMBERS, lambda n: f"min((e - length(x))::bigint || '-' || e::bigint) filter (i = {n})")
 
 # --- post-processors
 _CLS, _SEP = 101, 102

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import hashlib
+import pickle
+from dataclasses import dataclass, field, fields, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -47,6 +50,14 @@ class Vocab:
     space: str = ""
     config: dict[str, str] = field(default_factory=dict)
 
+    @cached_property
+    def _digest(self) -> str:
+        return hashlib.md5(pickle.dumps([getattr(self, f.name) for f in fields(self)])).hexdigest()
+
+    def key(self) -> str:
+        """A name for this vocabulary and configuration."""
+        return self._digest
+
     def ids(self) -> dict[str, int]:
         return {t: k for k, t in enumerate(self.tokens)}
 
