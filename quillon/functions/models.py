@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -50,6 +51,27 @@ class Longest:
         return -1, 0
 
 
+#: Vocabularies up to this size are also a prefix-tree expression, which is searched without Python steps.
+SMALL = 512
+
+
+def prefix_tree(tokens: Iterable[str]) -> str:
+    """An expression for the longest of the tokens at a place, or any one character."""
+    tree: dict = {}
+    for t in filter(None, tokens):
+        at = tree
+        for c in t:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def write(node: dict) -> str:
+        ways = [re.escape(c) + write(rest) for c, rest in node.items() if c]
+        body = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+        return f"(?:{body})?" if "" in node and body else body
+
+    return f"{write(tree)}|." if tree else "."
+
+
 class Memo(dict):
     """What a function gave for fragments, forgotten all at once when there are too many."""
 
@@ -73,6 +95,8 @@ class Model:
         self.vocab, self.ids = vocab, vocab.ids()
         self.longest = Longest(self.ids)
         self.memo, self.sizes = Memo(self._fragment), Memo(lambda f: len(self.memo[f]))
+        self.scan = re.compile(prefix_tree(self.ids), re.S) if len(self.ids) <= SMALL and max(map(len, self.ids), default=0) <= CACHED_LENGTH else None
+        self.unit = Memo(lambda p: self.ids.get(p, self.unknown(p)))
 
     def set_cache(self, most: int) -> None:
         """How many fragments are remembered; 0 for none."""
@@ -83,6 +107,14 @@ class Model:
         self.memo.clear()
         self.sizes.clear()
 
+    def unknown(self, piece: str) -> int | None:
+        """The id of a character that begins no entry; None if it has none."""
+        return self.vocab.unk
+
+    def found(self, text: str) -> Iterator[int | None]:
+        """Ids of the longest entries of a text, by the expression of a small vocabulary."""
+        return map(self.unit.__getitem__, self.scan.findall(text))
+
     def fragments(self, text: str) -> list[str]:
         """The parts of a text that are encoded each by itself."""
         raise NotImplementedError
@@ -233,25 +265,29 @@ class Bpe(Model):
         return out
 
     def _unit(self, c: str) -> tuple[int, ...]:
+        k = self.unit[c]
+        return () if k is None else (k,)
+
+    def unknown(self, piece: str) -> int | None:
+        """The unknown id, or the character's value; None if unknown characters are not encoded."""
         unk = self.vocab.unk
-        if c in self.ids:
-            return (self.ids[c],)
-        return () if unk is not None and unk < 0 else (unk if unk is not None else ord(c) if c < "\x80" else -(ord(c) + 1),)
+        return ord(piece) if unk is None and piece < "\x80" else -(ord(piece) + 1) if unk is None else unk if unk >= 0 else None
 
     def _fragment(self, text: str) -> tuple[int, ...]:
-        out, at, unk = [], 0, self.vocab.unk
+        """A fragment with a character that is not encoded has no ids at all."""
+        if self.scan is not None:
+            out = tuple(self.found(text))
+            return () if None in out else out
+        ids, at = [], 0
         while at < len(text):
             k, n = self.longest(text, at)
-            if n:
-                out.append(k)
-                at += n
-                continue
-            if unk is not None and unk < 0:
-                return ()
-            c = text[at]
-            out.append(unk if unk is not None else ord(c) if c < "\x80" else -(ord(c) + 1))
-            at += 1
-        return tuple(out)
+            if not n:
+                k, n = self.unknown(text[at]), 1
+                if k is None:
+                    return ()
+            ids.append(k)
+            at += n
+        return tuple(ids)
 
     def detokenize(self, ids: list[int]) -> str:
         out, before, v = bytearray(), "", self.vocab
@@ -322,6 +358,17 @@ class Spm(Model):
     def piece(self, text: str) -> list[int]:
         return self.body(text)
 
+    def body(self, text: str) -> list[int]:
+        if self.scan is None:
+            return super().body(text)
+        out = list(self.found(to_meta(text)))
+        return out if self.vocab.unk is not None else [i for i in out if i is not None]
+
+    def size(self, text: str) -> int:
+        if self.scan is None:
+            return super().size(text)
+        return len(self.scan.findall(to_meta(text))) if self.vocab.unk is not None else len(self.body(text))
+
     def _fragment(self, text: str) -> tuple[int, ...]:
         out, at, unk = [], 0, self.vocab.unk
         while at < len(text):
@@ -407,11 +454,16 @@ class Unigram(Model):
         return tuple(ids) if ids or not text else None
 
     def body(self, text: str) -> list[int]:
+        if self.scan is not None and not self.viterbi:
+            out = list(self.found(to_meta(text)))
+            return [] if None in out else out
         found = list(map(self.memo.__getitem__, self.fragments(text)))
         return [] if None in found else list(chain.from_iterable(found))
 
     def size(self, text: str) -> int:
-        return super().size(text) if self.vocab.unk is not None else len(self.body(text))
+        if self.vocab.unk is None:
+            return len(self.body(text))
+        return len(self.scan.findall(to_meta(text))) if self.scan is not None and not self.viterbi else super().size(text)
 
     def piece(self, text: str) -> list[int]:
         return self.body(text)
