@@ -96,7 +96,7 @@ class Model:
         self.longest = Longest(self.ids)
         self.memo, self.sizes = Memo(self._fragment), Memo(lambda f: len(self.memo[f]))
         self.scan = re.compile(prefix_tree(self.ids), re.S) if len(self.ids) <= SMALL and max(map(len, self.ids), default=0) <= CACHED_LENGTH else None
-        self.unit = Memo(lambda p: self.ids.get(p, self.unknown(p)))
+        self.unit = Memo(lambda p: self.ids[p] if p in self.ids else self.unknown(p))
 
     def set_cache(self, most: int) -> None:
         """How many fragments are remembered; 0 for none."""
