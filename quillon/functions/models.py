@@ -143,6 +143,22 @@ class Model:
         v = self.vocab
         return self.size(text) + (v.add_bos and v.bos is not None) + (v.add_eos and v.eos is not None)
 
+    def walk(self, fragment: str) -> list[tuple[int, int, int]]:
+        """(id, start, end) of a fragment's tokens, in characters of the fragment."""
+        out, at = [], 0
+        while at < len(fragment):
+            k, n = self.longest(fragment, at)
+            if not n:
+                k, n = self.unknown(fragment[at]), 1
+            if k is not None:
+                out.append((k, at, at + n))
+            at += n
+        return out
+
+    def parts(self, text: str) -> list[tuple[str, list[tuple[int, int, int]]]]:
+        """The text's fragments with their tokens, as the model itself cuts it."""
+        return [(f, self.walk(f)) for f in self.fragments(text)]
+
     def piece(self, text: str) -> list[int]:
         """Ids of a piece that a pre-tokenizer has cut: the model's rule for one fragment, without marks around it."""
         return list(self.memo[text]) if text else []
@@ -264,6 +280,19 @@ class Bpe(Model):
             out += [self.ids[f]] if f in self.ids else chain.from_iterable(map(self._unit, f))
         return out
 
+    def walk(self, fragment: str) -> list[tuple[int, int, int]]:
+        return super().walk(fragment) if self.memo[fragment] else []
+
+    def parts(self, text: str) -> list[tuple[str, list[tuple[int, int, int]]]]:
+        if text in self.ids:
+            return [(text, [(self.ids[text], 0, len(text))])]
+        out, at = [], 0
+        for m in self.special.finditer(text) if self.special else ():
+            out += super().parts(text[at : m.start()])
+            out.append((m[0], [(self.ids[m[0]], 0, len(m[0]))]))
+            at = m.end()
+        return out + super().parts(text[at:])
+
     def _unit(self, c: str) -> tuple[int, ...]:
         k = self.unit[c]
         return () if k is None else (k,)
@@ -358,6 +387,13 @@ class Spm(Model):
     def piece(self, text: str) -> list[int]:
         return self.body(text)
 
+    def walk(self, fragment: str) -> list[tuple[int, int, int]]:
+        """The mark that the model puts in front has no place in the fragment."""
+        return [(k, max(a - 1, 0), b - 1) for k, a, b in super().walk(to_meta(fragment))]
+
+    def parts(self, text: str) -> list[tuple[str, list[tuple[int, int, int]]]]:
+        return [(text, self.walk(text))] if text else []
+
     def body(self, text: str) -> list[int]:
         if self.scan is None:
             return super().body(text)
@@ -468,6 +504,19 @@ class Unigram(Model):
     def piece(self, text: str) -> list[int]:
         return self.body(text)
 
+    def walk(self, fragment: str) -> list[tuple[int, int, int]]:
+        """Every id takes as many characters as its entry, an unknown one takes one; without any way there is nothing."""
+        out, at = [], 0
+        text = to_meta(fragment)
+        for k in self.segment(fragment)[0]:
+            n = len(self.token(k)) if text.startswith(self.token(k), at) and self.token(k) else 1
+            out.append((k, max(at - 1, 0), at + n - 1))
+            at += n
+        return out
+
+    def parts(self, text: str) -> list[tuple[str, list[tuple[int, int, int]]]]:
+        return [(text, self.walk(text))] if text else []
+
     def detokenize(self, ids: list[int]) -> str:
         out, before = "", ""
         for t in filter(None, map(self.token, ids)):
@@ -485,31 +534,34 @@ class WordPiece(Model):
         super().__init__(vocab)
         self.gap = next((self.ids[t] for t in (" ", " ##", "##") if t in self.ids), None)
 
-    def _goes_on(self, ids: list[int]) -> bool:
-        return bool(ids) and self.token(ids[-1]).startswith("##")
+    def _goes_on(self, found: list[tuple[int, int, int]]) -> bool:
+        return bool(found) and self.token(found[-1][0]).startswith("##")
 
-    def _fragment(self, word: str) -> tuple[int, ...]:
-        out: list[int] = []
-        at = 0
-        while at < len(word):
-            k, n = self.longest(word, at)
+    def walk(self, fragment: str) -> list[tuple[int, int, int]]:
+        """Roots from the left; where none fits, an unknown id for each byte that is left, and then continuations."""
+        out: list[tuple[int, int, int]] = []
+        at, size = 0, len(fragment)
+        while at < size:
+            k, n = self.longest(fragment, at)
             if not n:
                 if self.vocab.unk is not None:
-                    out += [self.vocab.unk] * len(word[at:].encode())
+                    out += [(self.vocab.unk, at, size)] * len(fragment[at:].encode("utf-8", "surrogatepass"))
                 break
             if self._goes_on(out) and not self.token(k).startswith("##"):
                 break
-            out.append(k)
+            out.append((k, at, at + n))
             at += n
         if out and not self._goes_on(out):
-            rest = word[at:]
-            while rest:
-                k, n = self.longest("##" + rest, 0)
+            while at < size:
+                k, n = self.longest("##" + fragment[at:], 0)
                 if n <= 2:
                     break
-                out.append(k)
-                rest = rest[n - 2 :]
-        return tuple(out)
+                out.append((k, at, at + n - 2))
+                at += n - 2
+        return out
+
+    def _fragment(self, word: str) -> tuple[int, ...]:
+        return tuple(k for k, _, _ in self.walk(word))
 
     def fragments(self, text: str) -> list[str]:
         return _UNICODE_WORD.findall(text)
