@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.regex import WS_UNICODE, quote
 from quillon.operators.pretokenize import matches
+from quillon.schema import Vocab
 
 
 @dataclass(frozen=True)
@@ -64,3 +65,47 @@ def extract(c: Column, tokens: list[AddedToken], normalizer: Callable[[Column],
     if not raw:
         return again(c)
     return F.flatten(F.transform(matches(c, raw), lambda p: F.when(p["hit"], F.array(p)).otherwise(again(p["piece"]))))
+
+
+@dataclass(frozen=True)
+class AddedVocabulary:
+    """Added tokens beside a model's vocabulary; their ids go on from the model's size unless the model has them."""
+
+    model: Vocab
+    tokens: tuple[AddedToken, ...] = ()
+    normalizer: Callable[[Column], Column] | None = None
+
+    def add(self, *tokens: AddedToken) -> AddedVocabulary:
+        """With more tokens; empty ones and those that are there already are left out."""
+        have = {t.content for t in self.tokens}
+        new = [t for t in {t.content: t for t in reversed(tokens)}.values() if t.content and t.content not in have]
+        return replace(self, tokens=(*self.tokens, *reversed(new)))
+
+    def add_special(self, *tokens: str) -> AddedVocabulary:
+        return self.add(*[AddedToken(t, normalized=False, special=True) for t in tokens])
+
+    def vocab(self) -> Vocab:
+        """The model's vocabulary with the added tokens at its end."""
+        have = set(self.model.tokens)
+        return replace(self.model, tokens=(*self.model.tokens, *[t.content for t in self.tokens if t.content not in have]))
+
+    def ids(self) -> dict[str, int]:
+        every = self.vocab().ids()
+        return {t.content: every[t.content] for t in self.tokens}
+
+    def token_to_id(self, token: Column) -> Column:
+        """The added token's id, or else the model's; null if neither knows it."""
+        return F.try_element_at(F.create_map(*[F.lit(x) for t, k in (self.vocab().ids()).items() for x in (t, k)]).cast("map<string,bigint>"), token)
+
+    def id_to_token(self, i: Column) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for k, t in enumerate(self.vocab().tokens) for x in (k, t)]).cast("map<bigint,string>"), i.cast("bigint"))
+
+    def is_special(self, token: Column) -> Column:
+        special = [t.content for t in self.tokens if t.special]
+        return token.isin(*special) if special else F.lit(False)
+
+    def extract(self, text: Column) -> Column:
+        return extract(text, list(self.tokens), self.normalizer)
+
+    def __len__(self) -> int:
+        return len(self.tokens)

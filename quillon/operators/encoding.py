@@ -120,3 +120,111 @@ def numbered_batches(df: DataFrame, order: str, size: int) -> DataFrame:
     """A batch number from an increasing integer key."""
     return df.withColumn("batch", F.expr(f"{order} div {int(size)}"))
 
+
+def struct_windows(df: DataFrame, column: str, fields: tuple[str, ...], most: Column, stride: int | None, part: str) -> DataFrame:
+    """A column of parallel arrays cut to ``most`` elements; with ``stride`` one row for each window, numbered in ``part``."""
+    whole = F.col(column)
+    cut = lambda start, n: F.struct(*[F.slice(whole[f], start, n).alias(f) for f in fields])
+    if stride is None:
+        return df.withColumn(column, cut(F.lit(1), F.greatest(most, F.lit(0))))
+    step = F.greatest(most - stride, F.lit(1))
+    more = F.greatest(F.ceil((F.size(whole[fields[0]]) - most) / step), F.lit(0)).cast("int")
+    return df.withColumn(part, F.explode(F.sequence(F.lit(0), more))).withColumn(column, cut(F.col(part) * step + 1, F.greatest(most, F.lit(0))))
+
+
+def sequence_ranges(type_ids: Column, special: Column, sequences: int = 2) -> Column:
+    """Map of each sequence to (start, end) of its tokens, special tokens left out; sequences without tokens are not in it."""
+    own = lambda s: F.zip_with(type_ids, special, lambda t, x: (t == s) & (x == 0))
+    entries = []
+    for s in range(sequences):
+        first, back = F.array_position(own(s), F.lit(True)), F.array_position(F.reverse(own(s)), F.lit(True))
+        span = F.struct((first - 1).cast("int").alias("start"), (F.size(type_ids) - back + 1).cast("int").alias("end"))
+        entries.append(F.when(first > 0, F.struct(F.lit(s).alias("key"), span.alias("value"))))
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+
+
+def sequence_ids(ranges_map: Column, size: Column, sequences: int = 2) -> Column:
+    """For each token the sequence whose range it lies in; null for the others."""
+    place = lambda i: F.coalesce(*[F.when((i >= ranges_map[s]["start"]) & (i < ranges_map[s]["end"]), s) for s in range(sequences)])
+    return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), place)).otherwise(F.array().cast("array<int>"))
+
+
+def n_sequences(ranges_map: Column) -> Column:
+    """How many sequences there are; an encoding without ranges is one sequence."""
+    return F.greatest(F.size(ranges_map), F.lit(1))
+
+
+def merge_encodings(encodings: list[Column], growing: bool = False, sequences: int = 2) -> dict[str, Column]:
+    """The fields of several encodings (structs) one after the other.
+
+    ``growing``: each one's offsets begin where the last one ended.  Null encodings are left out.  A
+    token's type is the sequence whose range it lies in, or its own type where it lies in none; ranges
+    are made anew from the types, so those that hold only special tokens go.
+    """
+    def all_of(name: str, kind: str) -> Column:
+        return F.concat(*[F.coalesce(e[name], F.array().cast(f"array<{kind}>")) for e in encodings])
+
+    shift = F.lit(0)
+    offsets = []
+    for e in encodings:
+        own = F.coalesce(e["offsets"], F.array().cast("array<struct<start:int,end:int>>"))
+        offsets.append(F.transform(own, _shifted(shift)) if growing else own)
+        shift = shift + F.coalesce(F.try_element_at(own, F.lit(-1))["end"], F.lit(0))
+    types = F.concat(*[F.coalesce(_own_types(e, sequences), F.array().cast("array<int>")) for e in encodings])
+    special = all_of("special_tokens_mask", "int")
+    return {
+        "ids": all_of("ids", "bigint"),
+        "type_ids": types,
+        "tokens": all_of("tokens", "string"),
+        "offsets": F.concat(*offsets),
+        "special_tokens_mask": special,
+        "attention_mask": all_of("attention_mask", "int"),
+        "words": all_of("words", "int"),
+        "sequence_ranges": sequence_ranges(types, special, sequences),
+    }
+
+
+def _shifted(by: Column):
+    return lambda o: F.struct((o["start"] + by).cast("int").alias("start"), (o["end"] + by).cast("int").alias("end"))
+
+
+def _own_types(e: Column, sequences: int) -> Column:
+    known = sequence_ids(F.coalesce(e["sequence_ranges"], F.create_map().cast("map<int,struct<start:int,end:int>>")), F.size(e["type_ids"]), sequences)
+    return F.zip_with(known, e["type_ids"], lambda s, t: F.coalesce(s, t))
+
+
+def new_encoding(ids: Column, tokens: Column, type_id: int = 0) -> dict[str, Column]:
+    """The fields of an encoding from ids and tokens: nothing special, no words, no offsets."""
+    each = lambda v: F.transform(ids, lambda x: v)
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+    return {
+        "ids": ids,
+        "type_ids": each(F.lit(type_id)),
+        "tokens": tokens,
+        "offsets": each(zero),
+        "special_tokens_mask": each(F.lit(0)),
+        "attention_mask": each(F.lit(1)),
+        "words": each(F.lit(None).cast("int")),
+        "sequence_ranges": F.when(F.size(ids) > 0, F.create_map(F.lit(type_id), F.struct(F.lit(0).alias("start"), F.size(ids).alias("end")))).otherwise(F.create_map().cast("map<int,struct<start:int,end:int>>")),
+    }
+
+
+# --- spans: structs of start and end
+
+
+def span_length(span: Column) -> Column:
+    return F.greatest(span["end"] - span["start"], F.lit(0))
+
+
+def span_contains(span: Column, at: Column | int) -> Column:
+    return (span["start"] <= F.lit(at)) & (F.lit(at) < span["end"])
+
+
+def span_first(span: Column) -> Column:
+    """The first, and least, element; null if there is none."""
+    return F.when(span_length(span) > 0, span["start"])
+
+
+def span_last(span: Column) -> Column:
+    """The last, and greatest, element; null if there is none."""
+    return F.when(span_length(span) > 0, span["end"] - 1)

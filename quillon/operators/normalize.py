@@ -94,3 +94,9 @@ def bert(clean: bool = True, ideographs: bool = True, lower: bool = True, accent
 
 def default(lower: bool = True, stripped: bool = True) -> Normalizer:
     return sequence(*[f for f, on in ((lowercase(), lower), (strip(), stripped)) if on])
+
+
+def new(lower: bool = False, strip_ends: bool = False, accents: bool = False, form: str | None = None, also: tuple[Normalizer, ...] = ()) -> Normalizer:
+    """A normalizer from options: form, then accents, case, ends, and whatever else."""
+    chosen = ((unicode_form(form) if form else None, form), (strip_accents(), accents), (lowercase(), lower), (strip(), strip_ends))
+    return sequence(*[f for f, on in chosen if on], *also)

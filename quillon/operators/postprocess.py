@@ -55,6 +55,125 @@ def apply_template(pieces: list[Piece], specials: dict[str, list[int]], sequence
     }
 
 
+def apply_to_encodings(pieces: list[Piece], specials: dict[str, list[int]], sequences: dict[str, Column]) -> dict[str, Column]:
+    """All fields of an encoding by a template; ``sequences`` are structs of ids, tokens, words and offsets.
+
+    Special tokens are named as in the template, have no word (-1) and an empty span.
+    """
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+
+    def fixed(piece: Piece, value: Column, kind: str) -> Column:
+        return F.array_repeat(value, len(specials[piece.name])).cast(f"array<{kind}>")
+
+    ids = {name: s["ids"] for name, s in sequences.items()}
+    made = apply_template(pieces, specials, ids)
+    made["tokens"] = _join(pieces, lambda p: sequences[p.name]["tokens"], lambda p: fixed(p, F.lit(p.name), "string"))
+    made["words"] = _join(pieces, lambda p: sequences[p.name]["words"], lambda p: fixed(p, F.lit(-1), "int"))
+    made["offsets"] = _join(pieces, lambda p: sequences[p.name]["offsets"], lambda p: fixed(p, zero, "struct<start:int,end:int>"))
+    made["attention_mask"] = F.transform(made["ids"], lambda x: F.lit(1))
+    at, entries = F.lit(0), []
+    for p in pieces:
+        n = F.lit(len(specials[p.name])) if p.special else F.size(ids[p.name])
+        if not p.special:
+            span = F.struct(at.cast("int").alias("start"), (at + n).cast("int").alias("end"))
+            entries.append(F.when(n > 0, F.struct(F.lit("AB".index(p.name)).alias("key"), span.alias("value"))))
+        at = at + n
+    made["sequence_ranges"] = F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+    return made
+
+
+class Processor:
+    """What is done to one encoded sequence or a pair; ``added`` is how many tokens that adds."""
+
+    def added(self, pair: bool) -> int:
+        return 0
+
+    def apply(self, df: DataFrame, first: str, second: str | None = None) -> DataFrame:
+        """``df`` with the fields of an encoding of the structs ``first`` and ``second``."""
+        raise NotImplementedError
+
+
+@dataclass(frozen=True)
+class Default(Processor):
+    """One sequence as it is; two one after the other, the second with type 1."""
+
+    def apply(self, df: DataFrame, first: str, second: str | None = None) -> DataFrame:
+        return Template("$A", "$A $B:1", {}).apply(df, first, second)
+
+
+@dataclass(frozen=True)
+class Template(Processor):
+    single: str
+    pair: str
+    specials: dict[str, list[int]]
+
+    def added(self, pair: bool) -> int:
+        return added(parse_template(self.pair if pair else self.single), self.specials)
+
+    def apply(self, df: DataFrame, first: str, second: str | None = None) -> DataFrame:
+        pieces = parse_template(self.single if second is None else self.pair)
+        sides = {"A": F.col(first)} | ({"B": F.col(second)} if second else {})
+        return df.withColumns(apply_to_encodings(pieces, self.specials, sides))
+
+
+def bert_processor(cls: int, sep: int) -> Template:
+    return Template("[CLS] $A [SEP]", "[CLS] $A [SEP] $B:1 [SEP]:1", {"[CLS]": [cls], "[SEP]": [sep]})
+
+
+@dataclass(frozen=True)
+class ByteLevel(Processor):
+    """Takes the spaces out of the offsets; changes the structs in place and adds no token."""
+
+    prefix_space: bool = True
+    trim: bool = True
+
+    def apply(self, df: DataFrame, first: str, second: str | None = None) -> DataFrame:
+        for c in filter(None, (first, second)) if self.trim else ():
+            offsets = byte_level_offsets(F.col(c)["tokens"], F.col(c)["offsets"], self.prefix_space)
+            df = df.withColumn(c, F.col(c).withField("offsets", offsets))
+        return df
+
+
+@dataclass(frozen=True)
+class Roberta(Processor):
+    """Byte-level offsets first, if ``trim``; then the frame."""
+
+    cls: int
+    sep: int
+    prefix_space: bool = True
+    trim: bool = True
+
+    def _frame(self) -> Template:
+        return Template("<s> $A </s>", "<s> $A </s> </s>:1 $B:1 </s>:1", {"<s>": [self.cls], "</s>": [self.sep]})
+
+    def added(self, pair: bool) -> int:
+        return self._frame().added(pair)
+
+    def apply(self, df: DataFrame, first: str, second: str | None = None) -> DataFrame:
+        return self._frame().apply(ByteLevel(self.prefix_space, self.trim).apply(df, first, second), first, second)
+
+
+@dataclass(frozen=True)
+class Sequence(Processor):
+    """Processors one after the other; one that makes fields hands them on as the next one's first sequence."""
+
+    steps: tuple[Processor, ...]
+
+    def added(self, pair: bool) -> int:
+        return sum(s.added(pair) for s in self.steps)
+
+    def apply(self, df: DataFrame, first: str, second: str | None = None) -> DataFrame:
+        made = False
+        for step in self.steps:
+            out = step.apply(df, first, None if made else second)
+            if isinstance(step, ByteLevel):
+                df = out
+                continue
+            inner = F.struct(*[F.col(c) for c in ("ids", "tokens", "words", "offsets")])
+            df, made = out.withColumn(first, inner), True
+        return df if made else Default().apply(df, first, second)
+
+
 def template(df: DataFrame, single: str, specials: dict[str, list[int]], first: str, pair: str | None = None, second: str | None = None) -> DataFrame:
     """``df`` with ids, type_ids and special_tokens_mask."""
     chosen, sequences = (single, {"A": F.col(first)}) if second is None else (pair, {"A": F.col(first), "B": F.col(second)})

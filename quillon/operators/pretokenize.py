@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import models
 from quillon.functions.arrow import strings_by_row, with_offsets
+from quillon.functions.predicates import SCRIPTS
 from quillon.functions.regex import BPE_MODES, BYTE_LEVEL, PUNCT, WORD, WS4, WS_RE2
 
 __all__ = ["with_offsets"]  # from the Arrow functions, beside all that is defined here
@@ -159,10 +160,11 @@ def byte_level(prefix_space: bool = False) -> PreTokenizer:
 
 
 def unicode_script() -> PreTokenizer:
-    """Splits where the script changes; kana count as Han, marks of no script go with what is before them."""
-    scripts = (r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}", r"\p{IsLatin}", r"\p{IsGreek}", r"\p{IsCyrillic}", r"\p{IsArabic}", r"\p{IsHebrew}", r"\p{IsThai}", r"\p{IsHangul}", r"\p{IsDevanagari}")
-    every = "".join(scripts)
-    runs = "|".join(rf"[{s} ]+" for s in (*scripts, rf"^{every} "))
+    """Splits where the script changes; kana count as Han, a space belongs to any script, leading spaces are dropped."""
+    kana = ("Hiragana", "Katakana", "Han")
+    classes = [r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}", *(rf"\p{{Is{x}}}&&[^\x{{30FC}} ]" for x in SCRIPTS if x not in kana)]
+    known = "".join(rf"\p{{Is{x}}}" for x in SCRIPTS)
+    runs = "|".join(rf"[[{c}] ]+" for c in (*classes, f"^{known} "))
     return lambda c: find_all(F.regexp_replace(c, r"\A +", ""), runs)
 
 

@@ -7,6 +7,7 @@ unchecked and nothing large is returned.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,8 +132,14 @@ piece_query(
     pretokenize.sequence(pretokenize.whitespace_split(), pretokenize.punctuation()),
     f"flatten(list_transform({all_of(f'[^{WS4}]+')}, lambda x: {all_of(f'[{PUNCT}]|[^{PUNCT}]+', 'x')}))",
 )
-piece_query("pretok_bytelevel_split", lambda c: F.filter(pretokenize.byte_level_split(c), lambda p: ~p.rlike(rf"\A[{WS_RE2}]+\z")), f"list_filter({all_of(BYTE_LEVEL + f'|[{WS_RE2}]')}, lambda x: not regexp_full_match(x, '[{WS_RE2}]+'))")
-piece_query("pretok_bytelevel", pretokenize.byte_level(), None)
+# RE2 has no look-ahead: a mark is put before the last space of a run that a word follows, and no piece reaches over it
+_SPLIT_MARKED = r"regexp_replace(t, '([\t\n\f\r ]+)( [^\t\n\f\r ])', '\1' || chr(2) || '\2', 'g')"
+_SHORT = "|".join("''" + x for x in ("s", "t", "re", "ve", "m", "ll", "d"))
+_BYTE_PIECES = rf"""regexp_extract_all({_SPLIT_MARKED}, '{_SHORT}| ?\p{{L}}+| ?\p{{N}}+| ?[^\t\n\f\r \p{{L}}\p{{N}}\x02]+|[\t\n\f\r ]+')"""
+_BYTE_CHAR = "case when B between 33 and 126 or B between 161 and 172 or B >= 174 then chr(B) when B < 33 then chr(256 + B) when B = 173 then chr(323) else chr(162 + B) end"
+_BYTE_CHAR = _BYTE_CHAR.replace("B", "(('0x' || h)::int)")
+piece_query("pretok_bytelevel_split", pretokenize.byte_level_split, _BYTE_PIECES)
+piece_query("pretok_bytelevel", pretokenize.byte_level(), f"list_transform({_BYTE_PIECES}, lambda x: array_to_string(list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: {_BYTE_CHAR}), ''))")
 piece_query("pretok_unicode_script", pretokenize.unicode_script(), None)
 
 
@@ -166,8 +173,27 @@ piece_query(
 )
 piece_query("bpepre_falcon", pretokenize.bpe("falcon"), f"list_filter({all_of(BPE_MODES['falcon'])}, {_NO_BLANK})")
 piece_query("bpepre_qwen35", pretokenize.bpe("qwen35"), f"list_filter({all_of(BPE_MODES['qwen35'])}, {_NO_BLANK})")
-piece_query("bpepre_deepseek", pretokenize.bpe("deepseek"), None)
-piece_query("bpepre_marked_spaces", pretokenize.bpe("gpt2", "Ġ"), None)
+_BY_DIGIT = "regexp_extract_all({0}, '[0-9]|[^0-9]+')"
+_LATIN = "regexp_extract_all(t, ' ?[A-Za-zÀ-ɏ]+')"
+piece_query(
+    "bpepre_deepseek",
+    pretokenize.bpe("deepseek"),
+    f"list_filter(flatten(list_transform(case when regexp_matches(t, '[\\r\\n]') then regexp_extract_all(t, '[\\r\\n]+') when len({_LATIN}) > 0 then {_LATIN} else [t] end, lambda x: {_BY_DIGIT.format('x')})), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')",
+)
+
+
+def _marked(fragments: str) -> str:
+    """Fragments whose blank ones are whole runs, with their spaces as marks."""
+    blank = "regexp_full_match({0}, '[ \\t\\r\\n]+')"
+    return f"""flatten(list_transform({fragments}, lambda x, i: case
+        when {blank.format('x')} then case when i = len({fragments}) then list_transform(range(length(x)), lambda k: 'Ġ') else [] end
+        when i > 1 and {blank.format(f'({fragments})[i - 1]')} then (case when length(({fragments})[i - 1]) > 1 then [repeat('Ġ', length(({fragments})[i - 1]) - 1)] else [] end) || ['Ġ' || x]
+        else [x] end))"""
+
+
+_GPT2_RUNS = r"""regexp_extract_all(t, '[ \t\r\n]+|''(?:[rR][eE]|v[eE]|l[lL]|[sStTmMdD])|[A-Za-z]+|[0-9]|[\x00-\x08\x0b\x0c\x0e-\x1f!-/:-@\[-`{-\x7f]+|[^\x00-\x7f]')"""
+_QWEN2_RUNS = r"""regexp_extract_all(t, '[ \t\r\n]+|[0-9]+|''(?:[rR][eE]|v[eE]|l[lL]|[sStTmMdD])|[A-Za-z]+|(?:[\x00-\x08\x0b\x0c\x0e-\x1f!-/:-@\[-`{-\x7f]|[^\x00-\x7f])+')"""
+piece_query("bpepre_marked_spaces", pretokenize.bpe("gpt2", "Ġ"), f"(select {_marked('f')} from (select {_GPT2_RUNS} as f))")
 
 # --- models
 _META = "case when t = '' then t else '▁' || regexp_replace(t, '[ \\t\\n\\r]', '▁', 'g') end"
@@ -196,8 +222,50 @@ id_query("encode_bpe_kernel", lambda c: encode.encode_kernel(c, V.BPE), SQL["enc
 for _name, _vocab in (("bpe", V.BPE), ("spm", V.SPM_UNK), ("unigram", V.UNIGRAM)):
     id_query(f"encode_{_name}_native", lambda c, v=_vocab: encode.encode_native(c, v), None)
     SQL[f"encode_{_name}_native"] = SQL["encode_spm_unk" if _name == "spm" else f"encode_{_name}"]
-id_query("encode_bpe_special", lambda c: encode.encode_kernel(c, V.BPE_SPECIAL), None)
+_VALUE = "case when unicode(x) < 128 then unicode(x) else -(unicode(x) + 1) end"
+
+
+def _greedy_ids(vocab: Vocab, fragment: str, unknown: str) -> str:
+    """Ids of a fragment: entries by falling length, or any character."""
+    ways = "|".join(re.escape(t) for t in sorted(vocab.tokens, key=lambda t: (-len(t), t)))
+    return f"list_transform(regexp_extract_all({fragment}, {quoted(f'(?s){ways}|.')}), lambda x: coalesce({_table(vocab)}[x], {unknown}))"
+
+
+# texts hold no special token; where one stood, its id would stand between the ids of the parts around it
+_SPECIAL_IDS = f"flatten(list_transform(m, lambda f: {_greedy_ids(V.BPE_SPECIAL, 'f', _VALUE)}))"
+id_query("encode_bpe_special", lambda c: encode.encode_kernel(c, V.BPE_SPECIAL), f"(select list_transform([0] || {_SPECIAL_IDS}, lambda i: i::varchar) from (select {_marked('f')} as m from (select {_QWEN2_RUNS} as f)))")
 id_query("encode_wordpiece", lambda c: encode.encode_kernel(c, V.WORDPIECE), None)
+_WP_ROWS = ", ".join(f"({k}, {quoted(t)})" for k, t in enumerate(V.WORDPIECE.tokens))
+#: Word pieces in steps: roots as long as one fits, an unknown id for each byte that is left, then continuations.
+WORDPIECE_WALK = f"""with recursive v(id, t) as (values {_WP_ROWS}),
+texts as (select doc_id, {{words}} as w from documents),
+words as (select distinct unnest(w) as word from texts),
+roots(word, done, ids) as (
+  select word, 0, []::bigint[] from words
+  union all
+  select s.word, s.done + length(v.t), s.ids || [v.id::bigint]
+  from (select word, done, ids, (select max(length(t)) from v where starts_with(substr(word, done + 1), t)) as n from roots) s join v on v.t = substr(s.word, s.done + 1, s.n)),
+ends as (select word, max(done) as done, arg_max(ids, done) as ids from roots group by word),
+tails(word, done, ids) as (
+  select word, done, ids || list_transform(range(strlen(substr(word, done + 1))), lambda k: 0::bigint) from ends
+  union all
+  select s.word, s.done + length(v.t) - 2, s.ids || [v.id::bigint]
+  from (select word, done, ids, (select max(length(t)) from v where starts_with(t, '##') and length(t) > 2 and starts_with(substr(word, done + 1), substr(t, 3))) as n from tails) s
+  join v on v.t = '##' || substr(s.word, s.done + 1, s.n - 2)),
+pieces as (select word, arg_max(ids, done) as ids from tails group by word),
+each as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from texts),
+encoded as (select t.doc_id, [1::bigint] || coalesce(flatten(list(p.ids order by e.i) filter (e.i is not null)), []) || [2::bigint] as ids
+            from texts t left join each e using (doc_id) left join pieces p using (word) group by t.doc_id) """
+_SPACE_WORDS = "regexp_extract_all(text, '[^\\x09-\\x0d \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')"
+_WP = WORDPIECE_WALK.replace("{words}", _SPACE_WORDS)
+SQL["encode_wordpiece"] = _WP + "select doc_id, len(ids)::bigint as n, md5(array_to_string(ids, chr(31))) as digest from encoded"
+SQL["count_wordpiece"] = _WP + "select doc_id, len(ids)::bigint as n_tokens from encoded"
+SQL["detok_wordpiece"] = (
+    _WP
+    + f""", strings as (select e.doc_id, list_filter(list_transform(e.ids, lambda i: [{', '.join(map(quoted, V.WORDPIECE.tokens))}][i + 1]), lambda t: t not in ('[CLS]', '[SEP]', '<s>', '</s>', '[PAD]', '[UNK]')) as t from encoded e),
+joined as (select doc_id, array_to_string(list_transform(t, lambda x, i: case when starts_with(x, '##') then substr(x, 3) when i = 1 then x else ' ' || x end), '') as r from strings)
+select doc_id, length(r)::bigint as n, md5(r) as digest from joined"""
+)
 
 
 def _counts(vocab: Vocab) -> Callable[[SparkSession, str], DataFrame]:
@@ -220,6 +288,19 @@ SQL["encode_unigram_score"] = f"select doc_id, round(list_sum(list_transform({al
 
 for _name, _vocab in (("bpe", V.BPE), ("spm", V.SPM_UNK), ("unigram", V.UNIGRAM), ("wordpiece", V.WORDPIECE)):
     text_query(f"detok_{_name}", lambda c, v=_vocab: encode.detokenize(encode.encode(c, v), v), None)
+_SPM_STRINGS = f"list_transform(list_transform({_ids_sql(V.SPM_UNK, _META, '0')}, lambda x: x::int), lambda i: replace([{', '.join(map(quoted, V.SPM.tokens))}][i + 1], '▁', ' '))"
+_SPM_SPACED = "list_transform(s, lambda x, i: case when i = 1 or ends_with(s[i - 1], ' ') or starts_with(x, ' ') then x else ' ' || x end)"
+_BPE_PLAIN = f"list_transform(flatten(list_transform(list_filter({_KEPT['gpt2']}, {_NO_BLANK}), lambda f: {_greedy_ids(V.BPE, 'f', _VALUE)})), lambda x: x::bigint)"
+_BPE_TOKEN = f"[{', '.join(map(quoted, V.BPE.tokens))}][x + 1]"
+_BPE_TEXT = f"""list_transform(i, lambda x, k: case when x between 0 and {len(V.BPE.tokens) - 1} then case when k > 1 and i[k - 1] between 0 and {len(V.BPE.tokens) - 1} then ' ' else '' end || {_BPE_TOKEN}
+  when x < 0 then case when regexp_full_match(chr((-x - 1)::int), '[\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]') then ' ' else chr((-x - 1)::int) end
+  when x < 256 then chr(x::int) else '' end)"""
+for _name, _sql in (
+    ("spm", f"(select ltrim(array_to_string({_SPM_SPACED}, '')) from (select {_SPM_STRINGS} as s))"),
+    ("unigram", f"ltrim(array_to_string({_SPM_STRINGS}, ''))"),
+    ("bpe", f"(select array_to_string({_BPE_TEXT}, '') from (select {_BPE_PLAIN} as i))"),
+):
+    SQL[f"detok_{_name}"] = f"select doc_id, length(r)::bigint as n, md5(r) as digest from (select doc_id, {_sql} as r from (select doc_id, text as t from documents))"
 id_query("tokens_spm", lambda c: encode.tokens(encode.encode(c, V.SPM), V.SPM), f"list_filter({all_of(alternation(list(V.SPM.tokens)).removeprefix('(?s)'), _META)}, lambda x: {_table(V.SPM)}[x] is not null)")
 
 
@@ -452,17 +533,23 @@ dec_query("dec_strip", decode.strip("t", 1, 1), "list_transform(w, lambda x: reg
 dec_query("dec_metaspace", decode.metaspace("e"), "list_transform(w, lambda x, i: replace(x, 'e', case when i = 1 then '' else ' ' end))")
 dec_query("dec_replace", decode.replace("th", "z"), "list_transform(w, lambda x: replace(x, 'th', 'z'))")
 dec_query("dec_sequence", decode.sequence(decode.replace("th", "z"), decode.fuse()), "[replace(array_to_string(list_transform(w, lambda x: replace(x, 'th', 'z')), chr(30)), chr(30), '')]")
-dec_query("dec_byte_fallback", decode.byte_fallback(), None)
+def _as_bytes(t: Column) -> Column:
+    """Each word as its bytes' tokens and a bar after it."""
+    of = lambda x: F.transform(F.regexp_extract_all(F.hex(F.encode(x, "UTF-8")), F.lit(".."), F.lit(0)), lambda h: F.concat(F.lit("<0x"), h, F.lit(">")))
+    return F.flatten(F.transform(t, lambda x: F.concat(of(x), F.array(F.lit("|")))))
+
+
+dec_query("dec_byte_fallback", lambda t: decode.byte_fallback()(_as_bytes(t)), "flatten(list_transform(w, lambda x: [x, '|']))")
 dec_query("dec_bytelevel", lambda t: decode.byte_level()(F.transform(t, pretokenize.to_bytes)), "[array_to_string(w, '')]")
 
 # --- added tokens
 _ADDED = [added.AddedToken("the"), added.AddedToken("License", special=True), added.AddedToken("thth")]
-piece_query("added_extract", lambda c: F.transform(added.extract(c, _ADDED), lambda p: p["piece"]), None)
+piece_query("added_extract", lambda c: F.transform(added.extract(c, _ADDED), lambda p: p["piece"]), "list_filter(string_split(regexp_replace(t, '(License|thth|the)', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')")
 piece_query("added_hits", lambda c: F.transform(F.filter(added.extract(c, _ADDED), lambda p: p["hit"]), lambda p: p["piece"]), all_of("License|thth|the"))
-piece_query("added_single_word", lambda c: F.transform(F.filter(added.extract(c, [added.AddedToken("the", single_word=True)]), lambda p: p["hit"]), lambda p: p["piece"]), None)
+piece_query("added_single_word", lambda c: F.transform(F.filter(added.extract(c, [added.AddedToken("the", single_word=True)]), lambda p: p["hit"]), lambda p: p["piece"]), r"list_filter(regexp_extract_all(t, '[\p{L}\p{N}]+'), lambda x: x = 'the')")
 piece_query("added_strip_flags", lambda c: F.transform(F.filter(added.extract(c, [added.AddedToken("of", lstrip=True, rstrip=True)]), lambda p: p["hit"]), lambda p: p["piece"]), all_of(f"[{WS_UNICODE}]*of[{WS_UNICODE}]*"))
 _TWICE = [added.AddedToken("The"), added.AddedToken("License", normalized=False)]
-piece_query("added_normalized", lambda c: F.transform(added.extract(c, _TWICE, normalize.lowercase()), lambda p: p["piece"]), None)
+piece_query("added_normalized", lambda c: F.transform(added.extract(c, _TWICE, normalize.lowercase()), lambda p: p["piece"]), f"flatten(list_transform(string_split(regexp_replace(t, '(License)', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: case when x = 'License' then [x] else list_filter(string_split(regexp_replace({LOWER.replace('(t,', '(x,')}, '(the)', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda y: y <> '') end))")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,14 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.schema import Vocab
-from quillon.sources import gguf, tokd
+from quillon.sources import gguf, sentencepiece, tokd
 
 TOKENS = "path string, model string, pre_type string, id bigint, token string, score double, token_type int"
-DECODERS: dict[str, Callable[[bytes], Vocab]] = {"tokd": tokd.decode, "gguf": gguf.decode}
+DECODERS: dict[str, Callable[[bytes], Vocab]] = {"tokd": tokd.decode, "gguf": gguf.decode, "sentencepiece": sentencepiece.decode}
 
 
 def read_vocabularies(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Every token of every file under ``path``; ``kind`` is tokd or gguf."""
+    """Every token of every file under ``path``; ``kind`` is tokd, gguf or sentencepiece."""
     decode = DECODERS[kind]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

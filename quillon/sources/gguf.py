@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 from quillon.schema import Vocab
@@ -109,10 +110,34 @@ def metadata(data: bytes, header: str = "public") -> dict:
             break
         key = r.text(MOST_KEY)
         out[key] = r.value(r.number("I"))
+        r.at = after_tensor(data, key, r.at)
     return out
 
 
-def decode(data: bytes, header: str = "public") -> Vocab:
+#: After a key of a tensor, the next key is looked for in so many bytes; a key has so many characters at most.
+TENSOR_GAP, TENSOR_KEY = 2000, 256
+TENSOR_ENDS = (".weight", ".bias")
+_PLAUSIBLE = re.compile(rb"[a-z][\x20-\x7e]*")
+
+
+def after_tensor(data: bytes, key: str, at: int) -> int:
+    """Where the next key stands after what belongs to a tensor's key; ``at`` itself for other keys or if there is none.
+
+    A key is a length of 1 to 256, so many printable characters that begin with a small letter, and a value type.
+    """
+    if not key.endswith(TENSOR_ENDS):
+        return at
+    for place in range(at + 1, min(at + TENSOR_GAP + 1, len(data) - 12)):
+        n = int.from_bytes(data[place : place + 8], "little")
+        name = data[place + 8 : place + 8 + n] if 1 <= n <= TENSOR_KEY else b""
+        kind = data[place + 8 + n : place + 12 + n] if name else b""
+        if len(kind) == 4 and _PLAUSIBLE.fullmatch(name) and int.from_bytes(kind, "little") <= 12:
+            return place
+    return at
+
+
+def decode(data: bytes, header: str = "public", pre: str = "canonical") -> Vocab:
+    """``pre="reader"`` takes the file reader's own mapping of pre-tokenization names."""
     m = metadata(data, header)
     get = lambda k, default=None: m.get(f"tokenizer.ggml.{k}", default)
     ids = {n: get(f"{k}_token_id") for n, k in (("bos", "bos"), ("eos", "eos"), ("unk", "unknown"), ("pad", "padding"), ("eot", "eot"), ("eom", "eom"))}
@@ -124,7 +149,7 @@ def decode(data: bytes, header: str = "public") -> Vocab:
         token_type=tuple(get("token_type", ())),
         add_bos=bool(get("add_bos_token", False)),
         add_eos=bool(get("add_eos_token", False)),
-        pre_type=pre_type_of(get("pre", "default")),
+        pre_type=(reader_pre_type_of if pre == "reader" else pre_type_of)(get("pre", "default")),
         space=get("space_char", "") or "",
         **ids,
     )

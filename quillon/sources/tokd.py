@@ -7,6 +7,7 @@ written.  Unknown keys are skipped.
 
 from __future__ import annotations
 
+import json
 import struct
 
 from quillon.schema import Vocab
@@ -18,6 +19,26 @@ PRE_TYPES = ("default", "gpt2", "qwen2", "llama3", "starcoder", "deepseek", "fal
 ID_KEYS = (("B", "bos"), ("E", "eos"), ("F", "eot"), ("H", "eom"), ("U", "unk"), ("P", "pad"))
 
 
+#: Field keys of the named configurations and of the free entries.
+CONFIG_KEYS = (("N", "normalizer"), ("R", "pre_tokenizer"), ("D", "decoder"))
+ENTRY_KEY, SPM_KEY = "Z", "X"
+
+
+def two_parts(a: bytes, b: bytes) -> bytes:
+    """Two byte strings, each after its length."""
+    return b"".join(struct.pack("<I", len(x)) + x for x in (a, b))
+
+
+def from_two_parts(data: bytes) -> tuple[bytes, bytes]:
+    """What :func:`two_parts` joined; a part that the data end before is empty."""
+    out, at = [], 0
+    for _ in range(2):
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out[0], out[1]
+
+
 def _field(key: str, payload: bytes) -> bytes:
     return key.encode() + struct.pack("<I", len(payload)) + payload
 
@@ -38,6 +59,13 @@ def encode(v: Vocab) -> bytes:
         out.append(_field("V", struct.pack(f"<{len(v.scores)}d", *v.scores)))
     if v.token_type:
         out.append(_field("W", struct.pack(f"<{len(v.token_type)}i", *v.token_type)))
+    named = dict(v.config)
+    if "spm_model" in named:
+        out.append(_field(SPM_KEY, bytes.fromhex(named.pop("spm_model"))))
+    for key, name in CONFIG_KEYS:
+        if name in named:
+            out.append(_field(key, two_parts(named.pop(name).encode(), named.pop(f"{name}_config", "").encode())))
+    out += [_field(ENTRY_KEY, two_parts(k.encode(), json.dumps(x).encode())) for k, x in named.items()]
     return b"".join(out)
 
 
@@ -45,7 +73,8 @@ def decode(data: bytes) -> Vocab:
     if data[:4] != MAGIC or data[4:5] != bytes([VERSION]):
         raise ValueError("not a TOKD file of version 2")
     got: dict = {"merges": []}
-    at, names = 5, dict(ID_KEYS)
+    config: dict = {}
+    at, names, kinds = 5, dict(ID_KEYS), dict(CONFIG_KEYS)
     while at + 5 <= len(data):
         key, size = chr(data[at]), struct.unpack_from("<I", data, at + 1)[0]
         body = data[at + 5 : at + 5 + size]
@@ -68,6 +97,17 @@ def decode(data: bytes) -> Vocab:
             got["merges"].append(tuple(x.decode() for x in body.split(b"\0", 1)))
         elif key == "V":
             got["scores"] = struct.unpack(f"<{size // 8}d", body)
+        elif key == SPM_KEY:
+            config["spm_model"] = body.hex()
+        elif key in kinds:
+            kind, inner = (x.decode("utf-8", "replace") for x in from_two_parts(body))
+            config |= {kinds[key]: kind} | ({f"{kinds[key]}_config": inner} if inner else {})
+        elif key == ENTRY_KEY:
+            name, value = (x.decode("utf-8", "replace") for x in from_two_parts(body))
+            try:
+                config[name] = json.loads(value)
+            except ValueError:
+                config[name] = value
         elif key == "W":
             got["token_type"] = struct.unpack(f"<{size // 4}i", body)
-    return Vocab(**got | {"merges": tuple(got["merges"])})
+    return Vocab(**got | {"merges": tuple(got["merges"]), "config": config})
