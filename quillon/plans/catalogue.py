@@ -7,16 +7,21 @@ unchecked and nothing large is returned.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import predicates
 from quillon.functions.regex import BPE_MODES, BYTE_LEVEL, CJK, CONTROL, PUNCT, WORD, WS4, WS_RE2, WS_UNICODE, alternation
 from quillon.operators import added, decode, encode, encoding, normalize, postprocess, pretokenize, vocabulary
+from quillon.pipeline import Pipeline
 from quillon.plans import vocabularies as V
 from quillon.schema import Vocab
+from quillon.sources import config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -412,13 +417,18 @@ _TURNS = f"(select conv_id, turn, {_IDS} as a from (select conv_id, turn, text a
 _PAIRS = f"(select x.conv_id, x.turn, x.a, y.a as b, len(x.a) as la, len(y.a) as lb from {_TURNS} x join {_TURNS} y on x.conv_id = y.conv_id and x.turn + 1 = y.turn)"
 
 
+def _joined(c: Column) -> Column:
+    return F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").cast("binary"))
+
+
 def pair_query(name: str, strategy: str, a: str, b: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         n_a, n_b = encoding.pair_lengths(F.size("a"), F.size("b"), 512, strategy)
-        return _pair_rows(spark, sf_dir).select("conv_id", "turn", n_a.cast("bigint").alias("n_a"), n_b.cast("bigint").alias("n_b"))
+        cut = _pair_rows(spark, sf_dir).withColumns({"a": F.slice("a", 1, n_a), "b": F.slice("b", 1, n_b)})
+        return cut.select("conv_id", "turn", F.size("a").cast("bigint").alias("n_a"), F.size("b").cast("bigint").alias("n_b"), _joined(F.col("a")).alias("a"), _joined(F.col("b")).alias("b"))
 
     QUERIES[name] = run
-    SQL[name] = f"select conv_id, turn, ({a})::bigint as n_a, ({b})::bigint as n_b from {_PAIRS}"
+    SQL[name] = f"select conv_id, turn, ({a})::bigint as n_a, ({b})::bigint as n_b, md5(array_to_string(a[1:({a})], ',')) as a, md5(array_to_string(b[1:({b})], ',')) as b from {_PAIRS}"
 
 
 _FIRST = "case when la + lb <= 512 then la when la <= 256 then la when lb <= 256 then 512 - lb else 256 end"
@@ -427,14 +437,51 @@ pair_query("enc_truncate_only_first", "only_first", "greatest(la - greatest(la +
 pair_query("enc_truncate_only_second", "only_second", "la", "greatest(lb - greatest(la + lb - 512, 0), 0)")
 
 
-def merge_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = lambda ids: F.transform(ids, lambda x, i: F.struct(i.alias("start"), (i + 1).alias("end")))
-    merged = encoding.merged_offsets(spans(F.col("a")), spans(F.col("b")))
-    return _pair_rows(spark, sf_dir).select("conv_id", "turn", F.size(merged).cast("bigint").alias("n"), F.element_at(merged, -1)["end"].cast("bigint").alias("last"))
+def _as_encoding(ids: Column, type_id: int) -> Column:
+    spans = F.transform(ids, lambda x, i: F.struct(i.alias("start"), (i + 1).alias("end")))
+    fields = encoding.new_encoding(ids, F.transform(ids, lambda x: x.cast("string")), type_id) | {"offsets": spans}
+    return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+
+def _merged(spark: SparkSession, sf_dir: str, growing: bool) -> DataFrame:
+    rows = _pair_rows(spark, sf_dir).select("conv_id", "turn", _as_encoding(F.col("a"), 0).alias("x"), _as_encoding(F.col("b"), 1).alias("y"))
+    return rows.select("conv_id", "turn", *[c.alias(name) for name, c in encoding.merge_encodings([F.col("x"), F.col("y")], growing).items()])
+
+
+def merge_query(name: str, growing: bool) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spans = F.transform("offsets", lambda o: F.concat_ws(":", o["start"], o["end"]))
+        return _merged(spark, sf_dir, growing).select("conv_id", "turn", _joined(F.col("ids")).alias("ids"), _joined(F.col("type_ids")).alias("types"), F.md5(F.array_join(spans, ",").cast("binary")).alias("spans"))
+
+    QUERIES[name] = run
+    from_b = "list_transform(range(la, la + lb), lambda i: i || ':' || (i + 1))" if growing else "list_transform(range(lb), lambda i: i || ':' || (i + 1))"
+    SQL[name] = f"""select conv_id, turn, md5(array_to_string(a || b, ',')) as ids, md5(array_to_string(list_transform(range(la), lambda i: 0) || list_transform(range(lb), lambda i: 1), ',')) as types,
+    md5(array_to_string(list_transform(range(la), lambda i: i || ':' || (i + 1)) || {from_b}, ',')) as spans from {_PAIRS}"""
+
+
+merge_query("enc_merge_growing", True)
+merge_query("enc_merge", False)
 
 
-QUERIES["enc_merge_growing"] = merge_growing
-SQL["enc_merge_growing"] = f"select conv_id, turn, la + lb as n, la + lb as last from {_PAIRS}"
+def sequence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of both sequences of a framed pair, and whose the first, the middle and the last token are."""
+    made = postprocess.bert(_pair_rows(spark, sf_dir), 101, 102, "a", "b")
+    found = encoding.sequence_ranges(F.col("type_ids"), F.col("special_tokens_mask"))
+    rows = made.select("conv_id", "turn", "a", "b", "type_ids", "special_tokens_mask", found.alias("r"))
+    text = lambda k: F.coalesce(F.concat_ws("-", F.col("r")[k]["start"], F.col("r")[k]["end"]), F.lit("none"))
+    of = lambda at: encoding.token_to_sequence(F.col("type_ids"), F.col("special_tokens_mask"), at)
+    ids = encoding.sequence_ids(F.col("r"), F.size("type_ids"))
+    return rows.select(
+        "conv_id", "turn", F.when(F.size("a") > 0, text(0)).otherwise("none").alias("first"), F.when(F.size("b") > 0, text(1)).otherwise("none").alias("second"), encoding.n_sequences(F.col("r")).cast("bigint").alias("n"),
+        of(F.lit(0)).cast("bigint").alias("at_start"), of(F.lit(1)).cast("bigint").alias("at_one"), of(F.size("type_ids") - 2).cast("bigint").alias("at_last"),
+        F.md5(F.array_join(F.transform(ids, lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",").cast("binary")).alias("ids"),
+    )
+
+
+QUERIES["enc_sequences"] = sequence_query
+SQL["enc_sequences"] = f"""select conv_id, turn, case when la > 0 then '1-' || (la + 1) else 'none' end as first, case when lb > 0 then (la + 2) || '-' || (la + 2 + lb) else 'none' end as second,
+greatest((la > 0)::int + (lb > 0)::int, 1)::bigint as n, null::bigint as at_start, case when la > 0 then 0::bigint end as at_one, case when lb > 0 then 1::bigint end as at_last,
+md5(array_to_string(['-'] || list_transform(range(la), lambda i: '0') || ['-'] || list_transform(range(lb), lambda i: '1') || ['-'], ',')) as ids from {_PAIRS}"""
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,12 +551,12 @@ post_query("post_template_pair", lambda d: postprocess.template(d, "", _SPECIALS
 def overflow_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pair_rows(spark, sf_dir).withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
     side = lambda c: encoding.parts(rows.select("key", F.col(c).alias("ids")), "ids", 256, 16)
-    return postprocess.overflow_pairs(side("a"), side("b"), "key").select("key", "part_a", "part_b", F.size("ids_a").cast("bigint").alias("n_a"), F.size("ids_b").cast("bigint").alias("n_b"))
+    return postprocess.overflow_pairs(side("a"), side("b"), "key").select("key", "part_a", "part_b", _joined(F.col("ids_a")).alias("a"), _joined(F.col("ids_b")).alias("b"))
 
 
 QUERIES["post_overflow_pairs"] = overflow_pairs
 _PARTS = "unnest(range(greatest(ceil((len({0}) - 256) / 240.0), 0)::bigint + 1))"
-SQL["post_overflow_pairs"] = f"""select key, i::int as part_a, j::int as part_b, len(a[i * 240 + 1 : i * 240 + 256])::bigint as n_a, len(b[j * 240 + 1 : j * 240 + 256])::bigint as n_b
+SQL["post_overflow_pairs"] = f"""select key, i::int as part_a, j::int as part_b, md5(array_to_string(a[i * 240 + 1 : i * 240 + 256], ',')) as a, md5(array_to_string(b[j * 240 + 1 : j * 240 + 256], ',')) as b
 from (select *, {_PARTS.format('b')} as j from (select conv_id * 1000 + turn as key, a, b, {_PARTS.format('a')} as i from {_PAIRS}))"""
 
 # --- decoders: words of the text stand for tokens
@@ -552,6 +599,115 @@ _TWICE = [added.AddedToken("The"), added.AddedToken("License", normalized=False)
 piece_query("added_normalized", lambda c: F.transform(added.extract(c, _TWICE, normalize.lowercase()), lambda p: p["piece"]), f"flatten(list_transform(string_split(regexp_replace(t, '(License)', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: case when x = 'License' then [x] else list_filter(string_split(regexp_replace({LOWER.replace('(t,', '(x,')}, '(the)', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda y: y <> '') end))")
 
 
+# --- single characters, schemes and offsets of processors
+def _class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each character of the texts with its classes and how often it stands there."""
+    chars = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("c")).filter("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
+    flags = {"bert_punctuation": predicates.is_bert_punctuation, "punctuation": predicates.is_punctuation, "bert_whitespace": predicates.is_bert_whitespace, "whitespace": predicates.is_whitespace, "chinese": predicates.is_chinese}
+    return chars.select("c", "n", *[f(F.col("c")).alias(name) for name, f in flags.items()], predicates.script_of(F.col("c")).isin("Latin").alias("latin"))
+
+
+QUERIES["char_classes"] = _class_counts
+SQL["char_classes"] = r"""select c, count(*) as n, regexp_full_match(c, '[!-/:-@\[-`{-~]|\p{P}') as bert_punctuation, regexp_full_match(c, '\p{P}') as punctuation, c in (' ', chr(9), chr(10), chr(13)) as bert_whitespace,
+(unicode(c) between 9 and 13 or unicode(c) in (32, 133, 160, 5760, 8232, 8233, 8239, 8287, 12288) or unicode(c) between 8192 and 8202) as whitespace,
+(unicode(c) between 19968 and 40959 or unicode(c) between 13312 and 19903 or unicode(c) between 131072 and 183983 or unicode(c) between 63744 and 64255 or unicode(c) between 194560 and 195103) as chinese,
+regexp_full_match(c, '\p{Latin}') as latin from (select unnest(string_split(text, '')) as c from documents) where c <> '' group by c"""
+piece_query(
+    "pretok_metaspace_first",
+    pretokenize.sequence(pretokenize.delimiter("."), pretokenize.metaspace(scheme="first")),
+    f"flatten(list_transform(list_filter(string_split(t, '.'), lambda x: x <> ''), lambda x, i: regexp_extract_all(case when i = 1 and not starts_with({_MARKED.replace('(t,', '(x,')}, '▁') then '▁' else '' end || {_MARKED.replace('(t,', '(x,')}, '▁?[^▁]+|▁')))",
+)
+
+
+def trimmed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of byte-level pieces before and after their spaces are taken out."""
+    pieces = pretokenize.with_offsets(pretokenize.byte_level_split(F.col("text")))
+    rows = read(spark, sf_dir, "documents").select("doc_id", pieces.alias("p"))
+    names = F.transform("p", lambda x: F.replace(x["value"], F.lit(" "), F.lit("Ġ")))
+    rows = rows.select("doc_id", names.alias("tokens"), F.transform("p", lambda x: F.struct(x["start"], x["end"])).alias("offsets"))
+    made = postprocess.byte_level_offsets(F.col("tokens"), F.col("offsets"), False)
+    return _digest_pieces(rows, F.transform(made, lambda o: F.concat_ws(":", o["start"], o["end"])))
+
+
+QUERIES["post_bytelevel_offsets"] = trimmed_offsets
+SQL["post_bytelevel_offsets"] = f"""with p as (select doc_id, unnest(p) as x, generate_subscripts(p, 1) as i from (select doc_id, {_BYTE_PIECES} as p from (select doc_id, text as t from documents))),
+o as (select doc_id, i, x, sum(length(x)) over (partition by doc_id order by i) as e from p),
+s as (select *, e - length(x) as b, length(x) - length(ltrim(x, ' ')) as lead, length(x) - length(rtrim(x, ' ')) as tail from o)
+select doc_id, count(*)::bigint as n, md5(string_agg(least(b + lead, e)::bigint || ':' || (case when lead = length(x) then e else e - tail end)::bigint, chr(31) order by i)) as digest from s group by doc_id"""
+
+# --- all stages together
+_WP_PLAIN = replace(V.WORDPIECE, add_bos=False, add_eos=False)
+BERT = Pipeline(_WP_PLAIN, normalize.bert(), pretokenize.bert(), "[CLS] $A [SEP]", "[CLS] $A [SEP] $B:1 [SEP]:1", {"[CLS]": [1], "[SEP]": [2]})
+#: The same as a file has it.
+BERT_CONFIG = {
+    "model": {"type": "WordPiece", "vocab": V.WORDPIECE.ids(), "unk_token": "[UNK]"},
+    "normalizer": {"type": "BertNormalizer", "clean_text": True, "handle_chinese_chars": True, "strip_accents": None, "lowercase": True},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "BertPreTokenizer"}]},
+    "post_processor": {"type": "TemplateProcessing", "single": [{"SpecialToken": {"id": "[CLS]", "type_id": 0}}, {"Sequence": {"id": "A", "type_id": 0}}, {"SpecialToken": {"id": "[SEP]", "type_id": 0}}], "special_tokens": {"[CLS]": {"ids": [1]}, "[SEP]": {"ids": [2]}}},
+    "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True},
+}
+
+
+def _pipe_ids(make: Callable[[], Pipeline]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _id_digest(make().encode(read(spark, sf_dir, "documents").select("doc_id", "text"), "text"))
+
+
+QUERIES["pipe_bert"] = _pipe_ids(lambda: BERT)
+QUERIES["pipe_config"] = _pipe_ids(lambda: config.pipeline_of(json.dumps(BERT_CONFIG)))
+_BERT_TEXT = f"regexp_replace(lower(translate(regexp_replace({CLEAN}, {re2(f'([{CJK}])')}, ' \\1 ', 'g'), 'İΣ', 'iσ')), '\\p{{Mn}}+', '', 'g')".replace("(t,", "(text,")
+_BERT_WORDS = f"regexp_extract_all({_BERT_TEXT}, {re2(f'(?s)[{PUNCT}]|[^{PUNCT}{WS_RE2}]+')})"
+SQL["pipe_bert"] = SQL["pipe_config"] = WORDPIECE_WALK.replace("{words}", _BERT_WORDS) + "select doc_id, len(ids)::bigint as n, md5(array_to_string(ids, ',')) as digest from encoded"
+
+BY_WORD = Pipeline(V.BPE, pretokenizer=pretokenize.whitespace(), single="[CLS] $A [SEP]", specials={"[CLS]": [101], "[SEP]": [102]})
+
+
+def pipe_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every token of every text lies, its word and its string."""
+    made = replace(BY_WORD, single=None).encode(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    each = F.transform(F.arrays_zip("offsets", "words", "tokens"), lambda x: F.concat_ws(":", x["offsets"]["start"], x["offsets"]["end"], x["words"], x["tokens"]))
+    return _digest_pieces(made, each)
+
+
+QUERIES["pipe_offsets"] = pipe_offsets
+_WAYS = "|".join(re.escape(t) for t in sorted(V.BPE.tokens, key=lambda t: (-len(t), t)))
+SQL["pipe_offsets"] = f"""with p as (select doc_id, unnest(p) as x, generate_subscripts(p, 1) as i from (select doc_id, {all_of(f'[{WORD}]+|[^{WORD}{WS_RE2}]+|[{WS_RE2}]', 'text')} as p from documents)),
+w as (select *, regexp_full_match(x, '[{WS_RE2}]') as gap, count(*) filter (not regexp_full_match(x, '[{WS_RE2}]')) over (partition by doc_id order by i) - 1 as word from p),
+k as (select doc_id, i, gap, word, unnest(q) as y, generate_subscripts(q, 1) as j from (select *, case when gap then [x] else regexp_extract_all(x, {quoted(f'(?s){_WAYS}|.')}) end as q from w)),
+o as (select *, sum(length(y)) over (partition by doc_id order by i, j) as e from k)
+select doc_id, count(*) filter (not gap)::bigint as n, md5(coalesce(string_agg((e - length(y))::bigint || ':' || e::bigint || ':' || word || ':' || (case when y in ({', '.join(map(quoted, V.BPE.tokens))}) then y else coalesce([{', '.join(map(quoted, V.BPE.tokens))}][unicode(y) + 1], '') end), chr(31) order by i, j) filter (not gap), '')) as digest from o group by doc_id"""
+
+
+def pipe_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts of every text, framed, with a stride."""
+    made = BY_WORD.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", most=128, stride=32)
+    return _id_digest(made.withColumn("last", F.col("sequence_ranges")[0]["end"].cast("bigint")), "part", "last")
+
+
+QUERIES["pipe_overflow"] = pipe_overflow
+_WORD_IDS = f"list_transform(flatten(list_transform({all_of(f'[{WORD}]+|[^{WORD}{WS_RE2}]+', 'text')}, lambda f: {_greedy_ids(V.BPE, 'f', _VALUE)})), lambda x: x::bigint)"
+SQL["pipe_overflow"] = f"""select doc_id, k::int as part, case when len(x) > 0 then (len(x) + 1)::bigint end as last, (len(x) + 2)::bigint as n, md5(array_to_string([101::bigint] || x || [102::bigint], ',')) as digest
+from (select doc_id, k, ids[k * 94 + 1 : k * 94 + 126] as x from (select doc_id, ids, unnest(range(greatest(ceil((len(ids) - 126) / 94.0), 0)::bigint + 1)) as k from (select doc_id, {_WORD_IDS} as ids from documents)))"""
+
+PAIRED = Pipeline(V.SPM_UNK, single="[CLS] $A [SEP]", pair="[CLS] $A [SEP] $B:1 [SEP]:1", specials={"[CLS]": [101], "[SEP]": [102]})
+
+
+def pipe_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
+    made = PAIRED.encode(rows.join(after, ["conv_id", "turn"]), "a", "b", most=131, pad_to=140)
+    return made.select("conv_id", "turn", *[_joined(F.col(c)).alias(c) for c in ("ids", "type_ids", "special_tokens_mask", "attention_mask")])
+
+
+QUERIES["pipe_pair"] = pipe_pair
+_CUT = _FIRST.replace("512", "128").replace("256", "64")
+_PAIR_CUT = f"(select conv_id, turn, a[1:n] as a, b[1:case when la + lb <= 128 then lb else 128 - n end] as b from (select *, ({_CUT}) as n from {_PAIRS}))"
+_FILL = "list_transform(range(greatest(140 - len(a) - len(b) - 3, 0)), lambda i: {0})"
+SQL["pipe_pair"] = f"""select conv_id, turn, md5(array_to_string([101] || a || [102] || b || [102] || {_FILL.format(0)}, ',')) as ids,
+md5(array_to_string([0] || {_all('a', 0)} || [0] || {_all('b', 1)} || [1] || {_FILL.format(0)}, ',')) as type_ids,
+md5(array_to_string([1] || {_all('a', 0)} || [1] || {_all('b', 0)} || [1] || {_FILL.format(1)}, ',')) as special_tokens_mask,
+md5(array_to_string([1] || {_all('a', 1)} || [1] || {_all('b', 1)} || [1] || {_FILL.format(0)}, ',')) as attention_mask from {_PAIR_CUT}"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
