@@ -116,7 +116,8 @@ class Pipeline:
         if pad_to is not None:
             empty = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
             fills = {"ids": F.lit(pad_id).cast("bigint"), "type_ids": F.lit(pad_type), "tokens": F.lit(pad_token), "offsets": empty, "special_tokens_mask": F.lit(1), "attention_mask": F.lit(0), "words": F.lit(-1)}
-            shift = F.greatest(F.lit(pad_to) - F.size("ids"), F.lit(0)) if pad_left else F.lit(0)
-            moved = F.transform_values("sequence_ranges", lambda k, r: F.struct((r["start"] + shift).alias("start"), (r["end"] + shift).alias("end")))
-            out = out.withColumns({c: encoding.padded(F.col(c), F.lit(pad_to), v, pad_left) for c, v in fills.items()} | {"sequence_ranges": moved})
+            if pad_left:  # a step of its own: in one with the new ids, the function would see their length
+                shift = F.greatest(F.lit(pad_to) - F.size("ids"), F.lit(0))
+                out = out.withColumn("sequence_ranges", F.transform_values("sequence_ranges", lambda k, r: F.struct((r["start"] + shift).alias("start"), (r["end"] + shift).alias("end"))))
+            out = out.withColumns({c: encoding.padded(F.col(c), F.lit(pad_to), v, pad_left) for c, v in fills.items()})
         return out
