@@ -205,7 +205,7 @@ def _compared(batch: pa.RecordBatch, percent: int) -> dict:
     return {c: batch.column(c) for c in ("part", "hub", "node")} | out | {"extra": lists(out["extra"]), "missing": lists(out["missing"])}
 
 
-#: A key is hot if it has more than this share of the rows; its rows are dealt to so many places.
+#: A key is hot if it has more rows than one in HOT_SHARE and than 100, so at most HOT_SHARE keys are; its rows are dealt to so many places.
 HOT_SHARE, PLACES = 500, 32
 
 
@@ -216,7 +216,7 @@ def spread_join(left: DataFrame, keys: DataFrame, right: DataFrame, key: str) ->
     list that is broadcast is bounded.
     """
     total = keys.count()
-    hot = keys.groupBy(key).count().filter(F.col("count") > max(1000, total // HOT_SHARE)).select(F.col(key).alias("hot_key"))
+    hot = keys.groupBy(key).count().filter(F.col("count") > max(100, total // HOT_SHARE)).select(F.col(key).alias("hot_key"))
     hot = F.broadcast(cut(hot))
     place = F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64("node"), F.lit(PLACES))).otherwise(0).cast("int")
     places = F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0)))
@@ -391,7 +391,7 @@ def near_duplicates(docs: DataFrame, task_elements: int = TASK_ELEMENTS, percent
         nodes = nodes.join(rooted.join(by_root, "root").select("node", "root", "low"), "node", "left")
         nodes = nodes.select("node", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("low")).alias("least"), "copies", F.coalesce("root", "node").alias("component"))
     # rows without a set, and those of the at most HOT_SHARE sets with very many copies, are not shuffled
-    many = max(1000, sketches.count() // HOT_SHARE)
+    many = max(100, sketches.count() // HOT_SHARE)
     nodes = cut(nodes)
     rows = sketches.select("doc_id", "n_shingles", "digest", "node")
     hot = F.broadcast(nodes.filter(F.col("copies") > many).select(F.col("node").alias("hot_node"), F.col("least").alias("hot_least"), F.col("component").alias("hot_component")))

@@ -9,7 +9,9 @@ accepts, a reversed automaton finds the leftmost start and an anchored one the l
 
 Defined cases: null text counts as empty; spans are in code points, end exclusive; matches of one
 rule never overlap, those of different rules may; a match that fails its rule's length test is
-dropped, and the text it covers is not scanned again for that rule.
+dropped, and the text it covers is not scanned again for that rule. Repeated rows are scanned alike;
+very long texts are scanned whole; other columns are kept by :func:`redact` and ignored otherwise,
+whatever their names; one output row for each input row, so an empty table gives none.
 """
 
 from __future__ import annotations
