@@ -106,13 +106,15 @@ class Pipeline:
             if room < 1:
                 raise ValueError("the template alone is longer than that")
             lengths = {"A": F.lit(room)}
-            if second is not None:
-                lengths["A"], lengths["B"] = encoding.pair_lengths(F.size("__a.ids"), F.size("__b.ids"), room, strategy)
+            if second is not None:  # both lengths are settled before either side is cut
+                first, other = encoding.pair_lengths(F.size("__a.ids"), F.size("__b.ids"), room, strategy)
+                out = out.withColumns({"__n_a": first, "__n_b": other})
+                lengths = {"A": F.col("__n_a"), "B": F.col("__n_b")}
             for side, column in sides.items():
                 part = "part" if side == "A" else "part_b"
                 out = encoding.struct_windows(out, column, FIELDS, lengths[side], stride, part)
         made = postprocess.apply_to_encodings(pieces, self.specials, {s: F.col(c) for s, c in sides.items()})
-        out = out.withColumns(made).drop("__a", "__b")
+        out = out.withColumns(made).drop("__a", "__b", "__n_a", "__n_b")
         if pad_to is not None:
             empty = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
             fills = {"ids": F.lit(pad_id).cast("bigint"), "type_ids": F.lit(pad_type), "tokens": F.lit(pad_token), "offsets": empty, "special_tokens_mask": F.lit(1), "attention_mask": F.lit(0), "words": F.lit(-1)}
