@@ -498,11 +498,11 @@ _CHARS = (("0", "0"), ("50", "50"), ("size div 2", "size // 2"), ("size - 1", "s
 _NUMBERS = (0, 1, 10, 40, 1000)
 
 
-def _lookup(name: str, f: Callable[[Column], Column], places: list[tuple[Column, str]], sql: Callable[[str], str]) -> None:
-    """``f`` at each place, and DuckDB's answer: a select of doc_id and found for a place, over ``o`` and the text's size."""
+def _lookup(name: str, f: Callable[[Column], Column], places: list[tuple[str, str]], sql: Callable[[str], str]) -> None:
+    """``f`` at each place (an expression), and DuckDB's answer: a select of doc_id and found for a place, over ``o`` and the text's size."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = [F.coalesce(f(at).cast("string"), F.lit("none")) for at, _ in places]
+        found = [F.coalesce(f(F.expr(f"int({at})")).cast("string"), F.lit("none")) for at, _ in places]
         return _spans(spark, sf_dir).select("doc_id", F.concat_ws(",", *found).alias("found"))
 
     QUERIES[name] = run
@@ -511,8 +511,8 @@ def _lookup(name: str, f: Callable[[Column], Column], places: list[tuple[Column,
     SQL[name] = _OFF + f", r as ({each}) select doc_id, string_agg(coalesce(found, 'none'), ',' order by k) as found from r group by doc_id"
 
 
-_AT_CHARS = [(F.expr(f"int({a})"), b) for a, b in _CHARS]
-_AT_NUMBERS = [(F.lit(n), str(n)) for n in _NUMBERS]
+_AT_CHARS = list(_CHARS)
+_AT_NUMBERS = [(str(n), str(n)) for n in _NUMBERS]
 _span = lambda s: F.when(s.isNotNull(), F.concat_ws("-", s["start"], s["end"]))
 _lookup("enc_char2token", lambda at: encoding.char_to_token(F.col("offsets"), at), _AT_CHARS, lambda at: f"min(i) filter (e > {at} and e - length(x) <= {at})")
 _lookup("enc_char2word", lambda at: encoding.char_to_word(F.col("words"), F.col("offsets"), at), _AT_CHARS, lambda at: f"min(i) filter (e > {at} and e - length(x) <= {at} and x <> ' ')")

@@ -196,3 +196,11 @@ def test_scripts(spark):
     df = spark.createDataFrame([("abc дом, カナ漢字ー x",), ("  a",)], "t string")
     got = [r[0] for r in df.select(pretokenize.unicode_script()(F.col("t"))).collect()]
     assert got == [["abc ", "дом", ", ", "カナ漢字ー ", "x"], ["a"]]
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
