@@ -209,16 +209,18 @@ def _compared(batch: pa.RecordBatch, percent: int) -> dict:
 HOT_SHARE, PLACES = 500, 32
 
 
-def spread_join(left: DataFrame, keys: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left`` joined with ``right``, which has one row for each ``key``; rows of hot keys are dealt to several tasks.
+def spread_join(left: DataFrame, keys: DataFrame, right: DataFrame, key: str, by: str = "node") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``key``; rows of hot keys are dealt to several tasks ``by`` a column.
 
     ``keys`` (materialised) holds the keys of ``left``'s rows.  At most HOT_SHARE keys are hot, so the
     list that is broadcast is bounded.
     """
     total = keys.count()
-    hot = keys.groupBy(key).count().filter(F.col("count") > max(100, total // HOT_SHARE)).select(F.col(key).alias("hot_key"))
-    hot = F.broadcast(cut(hot))
-    place = F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64("node"), F.lit(PLACES))).otherwise(0).cast("int")
+    hot = cut(keys.groupBy(key).count().filter(F.col("count") > max(100, total // HOT_SHARE)).select(F.col(key).alias("hot_key")))
+    if hot.isEmpty():
+        return left.join(right, key)
+    hot = F.broadcast(hot)
+    place = F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(by), F.lit(PLACES))).otherwise(0).cast("int")
     places = F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0)))
     dealt = left.join(hot, left[key] == F.col("hot_key"), "left").withColumn("place", place).drop("hot_key")
     spread = right.join(hot, right[key] == F.col("hot_key"), "left").withColumn("place", F.explode(places)).drop("hot_key")
@@ -361,7 +363,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node that it can reach.
 
     Alternating large and small stars: each round joins nodes to the smallest neighbour known, until
-    every component is one star.
+    every component is one star.  The edges of a star with very many rays are dealt to several tasks.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     print_of = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).head()
@@ -369,9 +371,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = spread_join(both.filter("b > a"), both, least, "a", "b").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = cut(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = spread_join(large, large, least, "a", "b")
         now = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").union(least.select("a", F.col("m").alias("b"))).distinct())
         this = print_of(now)
         if this == last:
@@ -388,7 +391,7 @@ def near_duplicates(docs: DataFrame, task_elements: int = TASK_ELEMENTS, percent
     if found is not None:
         rooted = cut(components(found))
         by_root = rooted.join(nodes, "node").groupBy("root").agg(F.min("least").alias("low"))
-        nodes = nodes.join(rooted.join(by_root, "root").select("node", "root", "low"), "node", "left")
+        nodes = nodes.join(spread_join(rooted, rooted, by_root, "root").select("node", "root", "low"), "node", "left")
         nodes = nodes.select("node", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("low")).alias("least"), "copies", F.coalesce("root", "node").alias("component"))
     # rows without a set, and those of the at most HOT_SHARE sets with very many copies, are not shuffled
     many = max(100, sketches.count() // HOT_SHARE)

@@ -395,3 +395,16 @@ def test_toxicity_counts_texts(spark, words):
         labels.append((i, 1, 1))
     chain = toxicity.learn(table(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
     assert "gruzzq" in chain.vocabulary and "zorbiq" not in chain.vocabulary
+
+
+def test_components_of_wide_stars(spark):
+    """Stars with more rays than a key that is not hot may have, centred on the greatest and the least node."""
+    code = lambda x: x.to_bytes(2, "big")
+    edges = [(900, i) for i in range(1, 160)] + [(0, i) for i in range(1000, 1160)] + [(2000, 2001)]
+    rows = [(code(a), code(b)) for a, b in edges]
+    got = {bytes(r.node): bytes(r.root) for r in neardup.components(spark.createDataFrame(rows, "a binary, b binary")).collect()}
+    want = {x: 1 for x in [900, *range(1, 160)]} | {x: 0 for x in [0, *range(1000, 1160)]} | {2000: 2000, 2001: 2000}
+    assert got == {code(x): code(r) for x, r in want.items()}
+    joined = spark.createDataFrame([(900, 0), *[(900, 1160 + i) for i in range(3)]], "a int, b int")
+    both = neardup.spread_join(spark.createDataFrame(edges, "a int, b int"), spark.createDataFrame(edges, "a int, b int"), joined.groupBy("a").agg(neardup.F.max("b").alias("m")), "a", "b")
+    assert sorted(tuple(r) for r in both.select("a", "b", "m").collect()) == sorted((a, b, 1162) for a, b in edges if a == 900)
