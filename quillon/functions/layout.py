@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
@@ -12,8 +15,8 @@ from quillon.functions.models import META, Model, shared_model
 from quillon.schema import Vocab
 
 LAYOUT = "struct<ids:array<bigint>,tokens:array<string>,words:array<int>,offsets:array<struct<start:int,end:int>>>"
-_OFFSET = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_KIND = pa.struct([("ids", pa.list_(pa.int64())), ("tokens", pa.list_(pa.string())), ("words", pa.list_(pa.int32())), ("offsets", pa.list_(_OFFSET))])
+#: Bytes of text whose encodings are held at a time, or one row's; they take some ten times as much.
+SLICE_BYTES = 1 << 18
 
 
 def edges_of(text: str, piece: str, at: int, byte_of: dict[str, int]) -> list[int]:
@@ -43,24 +46,50 @@ def edges_of(text: str, piece: str, at: int, byte_of: dict[str, int]) -> list[in
     return [max(at, k - lead + i) for i in range(len(piece) + 1)] if k >= 0 else [at] * (len(piece) + 1)
 
 
-def layout(model: Model, text: str, pieces: list[str] | None, byte_of: dict[str, int]) -> dict:
-    """ids, tokens, words and offsets of a text; without pieces the model's own fragments are the words."""
-    ids: list[int] = []
-    words: list[int] = []
-    offsets: list[dict[str, int]] = []
-    at = 0
-    for w, (piece, found) in enumerate(model.parts(text) if pieces is None else ((p, model.walk(p)) for p in pieces)):
-        edges = edges_of(text, piece, at, byte_of)
-        for k, start, end in found:
-            ids.append(k)
-            words.append(w)
-            offsets.append({"start": edges[start], "end": edges[end]})
-        at = max(at, edges[-1])
-    return {"ids": ids, "tokens": model.tokens(ids), "words": words, "offsets": offsets}
+def layouts(model: Model, rows: Iterable[tuple[str | None, list[str] | None]], byte_of: dict[str, int], whole: bool) -> pa.StructArray:
+    """ids, tokens, words and offsets of texts, or of their pieces; ``whole``: the model's own fragments are the words."""
+    ids, words, starts, ends = array("q"), array("i"), array("i"), array("i")
+    lengths, missing = [0], []
+    for text, pieces in rows:
+        missing.append(text is None or (pieces is None and not whole))
+        if not missing[-1]:
+            at = 0
+            for w, (piece, found) in enumerate(model.parts(text) if whole else ((p, model.walk(p)) for p in pieces)):
+                edges = edges_of(text, piece, at, byte_of)
+                for k, start, end in found:
+                    ids.append(k)
+                    words.append(w)
+                    starts.append(edges[start])
+                    ends.append(edges[end])
+                at = max(at, edges[-1])
+        lengths.append(len(ids))
+    offsets = pa.array(lengths, pa.int32())
+    places = pa.StructArray.from_arrays([_flat(starts, np.int32), _flat(ends, np.int32)], ["start", "end"])
+    columns = [_flat(ids, np.int64), pa.array(model.tokens(ids), pa.string()), _flat(words, np.int32), places]
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, c) for c in columns], ["ids", "tokens", "words", "offsets"], mask=pa.array(missing, pa.bool_()))
+
+
+def _flat(values: array, kind: type) -> pa.Array:
+    return pa.array(np.frombuffer(values, kind) if values else np.zeros(0, kind))
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of slices of about SLICE_BYTES of text, or one row."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if i > start and held + n > SLICE_BYTES:
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield start, len(texts) - start
 
 
 def lay_out(text: Column, vocab: Vocab, pieces: Column | None = None) -> Column:
-    """ids, tokens, words and offsets (characters) of each text, or of its pieces in order."""
+    """ids, tokens, words and offsets (characters) of each text, or of its pieces in order.
+
+    Encodings leave the worker in slices, so what it and the JVM hold does not grow with an Arrow batch.
+    """
     from quillon.operators.pretokenize import byte_alphabet
 
     byte_of = {c: b for b, c in enumerate(byte_alphabet())}
@@ -71,7 +100,8 @@ def lay_out(text: Column, vocab: Vocab, pieces: Column | None = None) -> Column:
         def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = shared_model(vocab)
             for texts in batches:
-                yield pa.array([None if t is None else layout(model, t, None, byte_of) for t in texts.to_pylist()], _KIND)
+                for start, n in _slices(texts):
+                    yield layouts(model, ((t, None) for t in texts.slice(start, n).to_pylist()), byte_of, True)
 
         return whole(text)
 
@@ -79,7 +109,8 @@ def lay_out(text: Column, vocab: Vocab, pieces: Column | None = None) -> Column:
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = shared_model(vocab)
         for texts, parts in batches:
-            rows = zip(texts.to_pylist(), parts.to_pylist(), strict=True)
-            yield pa.array([None if t is None or p is None else layout(model, t, p, byte_of) for t, p in rows], _KIND)
+            for start, n in _slices(texts):
+                rows = zip(texts.slice(start, n).to_pylist(), parts.slice(start, n).to_pylist(), strict=True)
+                yield layouts(model, rows, byte_of, False)
 
     return cut(text, pieces)
