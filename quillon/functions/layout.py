@@ -50,12 +50,14 @@ def layouts(model: Model, rows: Iterable[tuple[str | None, list[str] | None]], b
     """ids, tokens, words and offsets of texts, or of their pieces; ``whole``: the model's own fragments are the words."""
     ids, words, starts, ends = array("q"), array("i"), array("i"), array("i")
     lengths, missing = [0], []
+    walks = model.walks
     for text, pieces in rows:
         missing.append(text is None or (pieces is None and not whole))
         if not missing[-1]:
             at = 0
-            for w, (piece, found) in enumerate(model.parts(text) if whole else ((p, model.walk(p)) for p in pieces)):
-                edges = edges_of(text, piece, at, byte_of)
+            for w, (piece, found) in enumerate(model.parts(text) if whole else ((p, walks[p]) for p in pieces)):
+                place = text.find(piece, at)
+                edges = range(place, place + len(piece) + 1) if place >= 0 else edges_of(text, piece, at, byte_of)
                 for k, start, end in found:
                     ids.append(k)
                     words.append(w)
