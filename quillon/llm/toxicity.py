@@ -177,8 +177,16 @@ def score(chain: Chain, texts: list[str | None], lookup: Lookup | None = None) -
     return out, ((p > chain.threshold) & ~empty).tolist()
 
 
+def copies(texts: DataFrame) -> dict[bytes, bytes]:
+    """The component of each shingle set whose component holds more than one of ``texts`` (different ids)."""
+    sketches = cut(neardup.sketch(texts))
+    repeated = sketches.filter("node is not null").groupBy("node").count().filter("count > 1").select("node").collect()
+    found = neardup.links(texts, sketches)
+    return {bytes(r[0]): bytes(r[0]) for r in repeated} | ({} if found is None else neardup.few_components(found))
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Chain | None:
-    """Fit on at most ``most`` labelled rows, chosen by hash; only words and counts of these reach the driver."""
+    """Fit on at most ``most`` labelled rows, chosen by hash; only words, counts and digests of these reach the driver."""
     usable = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null")
     hashed = usable.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).withColumn("hash", F.xxhash64("doc_id", F.lit("toxicity")))
     bound = least_hash(hashed, "hash", most)
@@ -189,8 +197,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Chain |
         def one(batch: pa.RecordBatch):
             for part in slices(batch):
                 count: Counter = Counter()
-                for t, toxic, kind in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "kind")), strict=True):
+                texts_here = part.column("text").to_pylist()
+                for t, toxic, node in zip(texts_here, part.column("toxic").to_pylist(), neardup.nodes_of(texts_here), strict=True):
                     if known := words(t):
+                        kind = kinds.get(node)
                         count.update((f, toxic, kind) for f in {None, *(f for w in known for f in features(w))})
                 yield {"word": [k[0] for k in count], "toxic": [k[1] for k in count], "kind": [k[2] for k in count], "n": list(count.values())}
 
@@ -199,12 +209,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Chain |
     # the sample's texts are read more than once: for copies, for counts and for what they hold
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
     texts = cut(texts)
-    kinds = cut(neardup.near_duplicates(texts).filter("component is not null").select("doc_id", "digest", F.col("component").alias("kind")).distinct())
-    copied = kinds.groupBy("kind").agg(F.count("*").alias("copies")).filter("copies > 1").select("kind")
+    kinds = copies(texts)
     # a null kind is a text without copies; the null word counts the texts
-    kinds = kinds.join(copied, "kind", "left_semi")
-    told = texts.withColumn("digest", F.xxhash64("text")).join(kinds, ["doc_id", "digest"], "left")
-    counts = map_batches(told.select("text", "toxic", "kind"), counting, "word string, toxic boolean, kind binary, n bigint").groupBy("word", "toxic", "kind").agg(F.sum("n").alias("n"))
+    counts = map_batches(texts.select("text", "toxic"), counting, "word string, toxic boolean, kind binary, n bigint").groupBy("word", "toxic", "kind").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("n", F.when(F.col("kind").isNull(), F.col("n")).otherwise(1))
     counts = cut(counts.groupBy("word").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("good")).filter("bad + good > 4 or word is null"))
     sizes = counts.filter("word is null").select("bad", "good").head()
